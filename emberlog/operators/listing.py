@@ -13,9 +13,11 @@ from emberlog.functions.cursors import encode_cursor, token_of
 from emberlog.functions.levels import decode_level
 from emberlog.functions.times import iso_text
 from emberlog.operators.filters import after_cursor, filter_logs
+from emberlog.schema import ROW_COLUMNS
 
-NEWEST_FIRST = (F.desc("timestamp"), F.desc("id"))
-ROW_COLUMNS = ("id", "timestamp", "level", "service", "message", "attributes")
+
+def newest_first() -> tuple[Column, Column]:
+    return F.desc("timestamp"), F.desc("id")
 
 
 def output_columns() -> list[Column]:
@@ -37,7 +39,7 @@ def newest(
     rows = filter_logs(logs, wanted)
     if cursor is not None:
         rows = rows.filter(after_cursor(logs, cursor))
-    return rows.select(*ROW_COLUMNS).orderBy(*NEWEST_FIRST).limit(limit)
+    return rows.select(*ROW_COLUMNS).orderBy(*newest_first()).limit(limit)
 
 
 def newest_row(logs: DataFrame) -> DataFrame:
@@ -53,7 +55,7 @@ def list_page(logs: DataFrame, arguments: Mapping[str, object]) -> DataFrame:
     """
     limit = parse_limit(arguments)
     page = newest(logs, parse_filter(arguments), limit + 1, parse_cursor(arguments))
-    order = Window.orderBy(*NEWEST_FIRST)
+    order = Window.orderBy(*newest_first())
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     last = F.when(F.col("place") == limit, encode_cursor(F.col("timestamp"), F.col("id")))
     marked = page.withColumn("place", F.row_number().over(order))

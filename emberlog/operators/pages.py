@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from emberlog.arguments import LogFilter
 from emberlog.functions.cursors import encode_cursor
 from emberlog.operators.filters import filter_logs
-from emberlog.operators.listing import NEWEST_FIRST
+from emberlog.operators.listing import newest_first
 from emberlog.operators.positions import with_position
 
 
@@ -19,7 +19,7 @@ def page_index(logs: DataFrame, wanted: LogFilter, limit: int) -> DataFrame:
     so the partial aggregation leaves about one record per page to shuffle.
     """
     keys = filter_logs(logs, wanted).select("timestamp", "id")
-    placed = with_position(keys, *NEWEST_FIRST)
+    placed = with_position(keys, *newest_first())
     key = F.struct("timestamp", "id")
     pages = placed.groupBy((F.floor(F.col("position") / limit) + 1).alias("page")).agg(
         F.count("*").alias("rows"),

@@ -42,6 +42,8 @@ LOG_ROW = T.StructType([
     T.StructField("attributes", ATTRIBUTES),
 ])
 
+ROW_COLUMNS = tuple(LOG_ROW.fieldNames())
+
 # The stored form: row columns first, folder columns last.
 STORED_LOG = T.StructType([
     *LOG_ROW.fields,

@@ -19,8 +19,7 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from emberlog.operators.listing import ROW_COLUMNS
-from emberlog.schema import ACKNOWLEDGEMENT, REJECTED, STORED_LOG
+from emberlog.schema import ACKNOWLEDGEMENT, REJECTED, ROW_COLUMNS, STORED_LOG
 
 INGEST_BATCH = T.StructField("ingest_batch", T.StringType())
 
