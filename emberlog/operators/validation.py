@@ -157,7 +157,7 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
     judged = typed.select(*typed.columns, _entry_reason(retention_days).alias("reason"))
     good = F.col("index").isNotNull() & F.col("reason").isNull()
     empty = F.create_map().cast("map<string,string>")
-    return judged.select(
+    verdict = F.struct(
         *carried,
         F.when(F.col("index").isNotNull(), F.col("reason")).alias("reason"),
         F.when(good, from_millis(F.col("millis"))).alias("timestamp"),
@@ -166,6 +166,9 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
         F.when(good, F.col("message")).alias("message"),
         F.when(good, F.coalesce(F.col("texts"), empty)).alias("attributes"),
     )
+    # Generated columns stop a later filter on the verdict from moving down here,
+    # where it would evaluate all of the above a second time.
+    return judged.select(F.inline(F.array(verdict)))
 
 
 def _entry_reason(retention_days: int) -> Column:
