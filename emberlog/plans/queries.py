@@ -256,9 +256,9 @@ def list_service_level(spark, sf_dir):
     return event_page(spark, sf_dir, service="error", level="warn")
 
 
-@query(list_sql(EVENT_LOGS, EVENT_ATTRIBUTES, "k = '5' AND u = '42'", 100))
+@query(list_sql(EVENT_LOGS, EVENT_ATTRIBUTES, "k = '5' AND service = 'click'", 1000))
 def list_attributes(spark, sf_dir):
-    return event_page(spark, sf_dir, **{"attr.k": "5", "attr.user_id": "42"})
+    return event_page(spark, sf_dir, service="click", limit="1000", **{"attr.k": "5"})
 
 
 @query(list_sql(DOCUMENT_LOGS, "'lang=' || lang", "message ILIKE '%data%'", 1000))
