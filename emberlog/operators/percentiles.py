@@ -6,11 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from emberlog.session import shared_dir
+
 # Values are told apart in three rounds of 20 bits, at a millionth of their unit.
 RESOLUTION = 1_000_000
 ROUND_SHIFTS = (40, 20, 0)
 KEY_LIMIT = 1 << 59
 
+# Up to this many different values in the widest group, one running sum per
+# group finds the ranks directly.
+ONE_TASK_VALUES = 1_000_000
+
 
 def nearest_rank(percent: float, count: Column) -> Column:
     """Place, from 1, of a percentile among ``count`` sorted values."""
@@ -24,16 +30,20 @@ def exact_percentiles(
 
     The built-in exact percentile keeps all distinct values of a group in one
     task. Here equal values are counted first, which also spreads a hot group
-    over all tasks. Then each wanted rank is narrowed down: counts per coarse
-    range say which range holds it, then counts inside that range, down to the
-    value. A running sum covers at most 2^20 ranges, whatever the group's size.
+    over all tasks; the counts are checkpointed, since several steps read them.
+    In a group with too many values each wanted rank is narrowed down: counts
+    per coarse range say which range holds it, then counts inside that range,
+    down to the value. A running sum then covers at most 2^20 ranges.
     """
     by = list(by)
+    shared_dir(samples.sparkSession)
     counted = (
         samples.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("value"))
         .agg(F.count("*").alias("n"))
+        .checkpoint()
     )
+    widest = counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
     scaled = F.floor(
         F.greatest(F.least(F.col("value") * RESOLUTION, F.lit(float(KEY_LIMIT - 1))),
                    F.lit(float(-KEY_LIMIT)))
@@ -50,13 +60,14 @@ def exact_percentiles(
         .select(*by, "range", "r.*")
     )
     parent: Column = F.lit(0).cast("bigint")
-    for shift in ROUND_SHIFTS:
-        inside = _inside(keyed.withColumn("range", parent), wanted, by)
-        part = F.shiftright("key", shift)
-        wanted = _narrow(inside, wanted, by, part).withColumnRenamed("part", "range")
-        parent = F.shiftright("key", shift)
-    last = _inside(keyed.withColumn("range", parent), wanted, by)
-    found = _narrow(last, wanted, by, F.col("value"))
+    if widest > ONE_TASK_VALUES:
+        for shift in ROUND_SHIFTS:
+            inside = _inside(keyed.withColumn("range", parent), wanted, by)
+            part = F.shiftright("key", shift)
+            wanted = _narrow(inside, wanted, by, part).withColumnRenamed("part", "range")
+            parent = part
+        keyed = _inside(keyed.withColumn("range", parent), wanted, by)
+    found = _narrow(keyed.withColumn("range", parent), wanted, by, F.col("value"))
     return found.groupBy(*by).agg(*[
         F.max(F.when(F.col("name") == name, F.col("part"))).alias(name) for name in percents
     ])

@@ -123,8 +123,14 @@ BROKEN_FIELDS: dict[str, dict[int, str | None]] = {
 
 
 def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events packed 100 to an envelope, chosen entries and envelopes broken."""
-    logs = event_logs(spark, sf_dir)
+    """Events packed 100 to an envelope, chosen entries and envelopes broken.
+
+    The narrow rows move to their batch first, so the texts are written and later
+    parsed by all tasks; the grouping needs no further shuffle.
+    """
+    batch = F.floor(F.col("id") / BATCH_EVENTS)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    logs = event_logs(spark, sf_dir).withColumn("batch", batch).repartition(tasks, "batch")
     case = F.col("id") % ENTRY_CASES
     user = F.col("attributes")["user_id"]
     usual = {
@@ -152,7 +158,7 @@ def event_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         case, F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")), {0: "42", 1: '["a"]'}
     )
     packed = (
-        logs.select("id", F.floor(F.col("id") / BATCH_EVENTS).alias("batch"), entry.alias("entry"))
+        logs.select("id", "batch", entry.alias("entry"))
         .groupBy("batch")
         .agg(F.array_sort(F.collect_list(F.struct("id", "entry"))).alias("entries"))
     )
