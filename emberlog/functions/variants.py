@@ -96,21 +96,25 @@ def scalar_text(value: Column, type_: Column) -> Column:
     return F.when(is_number(type_), number_text(value, type_)).otherwise(value.cast("string"))
 
 
-def display_text(value: Column, depth: int = 2) -> Column:
+def display_text(value: Column) -> Column:
     """Any JSON value as it reads in a message: absent is ``undefined``, an
-    object is ``[object Object]``, an array is its items joined by commas."""
-    type_ = type_name(value)
-    text = (
-        F.when(type_.isNull(), "undefined")
-        .when(type_ == "VOID", "null")
-        .when(type_.startswith("OBJECT"), "[object Object]")
-    )
-    if depth > 0:
-        items = F.transform(
-            array_items(value),
-            lambda item: F.when(type_name(item) == "VOID", "").otherwise(
-                display_text(item, depth - 1)
-            ),
+    object is ``[object Object]``, an array is its items, and theirs, joined by
+    commas with nulls left empty."""
+
+    def items(outer: Column) -> Column:
+        return F.coalesce(array_items(outer), F.array(outer))
+
+    def item_text(item: Column) -> Column:
+        type_ = type_name(item)
+        return (
+            F.when(type_ == "VOID", "")
+            .when(type_.startswith("OBJECT"), "[object Object]")
+            .otherwise(scalar_text(item, type_))
         )
-        text = text.when(type_.startswith("ARRAY"), F.array_join(items, ","))
-    return text.otherwise(scalar_text(value, type_))
+
+    every = F.flatten(F.transform(items(value), items))
+    return (
+        F.when(value.isNull(), "undefined")
+        .when(type_name(value) == "VOID", "null")
+        .otherwise(F.array_join(F.transform(every, item_text), ","))
+    )

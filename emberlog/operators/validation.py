@@ -6,6 +6,8 @@ reading a batch again gives the same verdicts.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog.functions.levels import encode_level
@@ -35,6 +37,7 @@ from emberlog.schema import (
     MAX_MESSAGE_LENGTH,
     RETENTION_DAYS,
 )
+from emberlog.session import configure
 
 BODY_TOO_LARGE = "request body is too large"
 BODY_NOT_JSON = "request body is not valid JSON"
@@ -109,6 +112,7 @@ def judge_batches(batches: DataFrame, retention_days: int = RETENTION_DAYS) -> D
     service, message, attributes)``; an accepted entry has an index and neither
     error nor reason.
     """
+    configure(batches.sparkSession)
     return judge_entries(explode_entries(read_envelopes(batches)), retention_days)
 
 
@@ -119,9 +123,30 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
     where a rule or a message still needs them: a JSON value drags the key
     dictionary of its whole batch along.
     """
-    carried = ["batch_id", "received_at", "envelope_error", "index"]
-    opened = entries.select(*carried, named_fields(F.col("entry"), *FIELDS).alias("entry"))
-    parts = opened.select(
+    application = entries.sparkSession.sparkContext.applicationId
+    verdicts = entries
+    for columns in _verdict_steps(application, retention_days):
+        verdicts = verdicts.select(*columns)
+    return verdicts
+
+
+CARRIED = ("batch_id", "received_at", "envelope_error", "index")
+
+
+@lru_cache(maxsize=4)
+def _verdict_steps(application: str, retention_days: int) -> list[list[Column]]:
+    """The projections from an exploded entry to its verdict, one after another.
+
+    Building these columns takes seconds of calls into the JVM, so one
+    application builds them once and not again for every micro-batch.
+    """
+    carried = [F.col(name) for name in CARRIED]
+
+    def keep(*names: str) -> list[Column]:
+        return [*carried, *[F.col(name) for name in names]]
+
+    opened = [*carried, named_fields(F.col("entry"), *FIELDS).alias("entry")]
+    parts = [
         *carried,
         F.col("entry").isNotNull().alias("is_object"),
         string_value(F.col("entry.timestamp")).alias("time_text"),
@@ -131,21 +156,16 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
         string_value(F.col("entry.message")).alias("message"),
         F.col("entry.attributes").alias("given"),
         type_name(F.col("entry.attributes")).rlike(PLAIN_ATTRIBUTES).alias("plain"),
-    )
+    ]
     given, plain = F.col("given"), F.col("plain")
-    unusual = parts.select(
-        *carried,
-        "is_object",
-        "time_text",
+    unusual = [
+        *keep("is_object", "time_text", "level", "service", "message"),
         iso_millis(F.col("time_text")).alias("millis"),
-        "level",
         F.when(F.col("level").isNull(), F.col("level_value")).alias("level_value"),
-        "service",
-        "message",
         given.isNotNull().alias("has_attributes"),
         F.when(plain, given.cast("map<string,string>")).alias("plain_texts"),
         F.when(~plain, object_fields(given)).alias("values"),
-    )
+    ]
     texts = F.coalesce(
         F.col("plain_texts"),
         F.when(
@@ -153,12 +173,12 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
             F.transform_values("values", lambda _, v: scalar_text(v, type_name(v))),
         ),
     )
-    typed = unusual.select(*unusual.columns, texts.alias("texts"))
-    judged = typed.select(*typed.columns, _entry_reason(retention_days).alias("reason"))
+    typed = [F.col("*"), texts.alias("texts")]
+    judged = [F.col("*"), _entry_reason(retention_days).alias("reason")]
     good = F.col("index").isNotNull() & F.col("reason").isNull()
     empty = F.create_map().cast("map<string,string>")
     verdict = F.struct(
-        *carried,
+        *CARRIED,
         F.when(F.col("index").isNotNull(), F.col("reason")).alias("reason"),
         F.when(good, from_millis(F.col("millis"))).alias("timestamp"),
         F.when(good, F.col("level")).alias("level"),
@@ -168,7 +188,7 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
     )
     # Generated columns stop a later filter on the verdict from moving down here,
     # where it would evaluate all of the above a second time.
-    return judged.select(F.inline(F.array(verdict)))
+    return [opened, parts, unusual, typed, judged, [F.inline(F.array(verdict))]]
 
 
 def _entry_reason(retention_days: int) -> Column:
