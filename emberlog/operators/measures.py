@@ -133,12 +133,17 @@ def interval_rate(samples: DataFrame, seconds: int = 1) -> DataFrame:
     """
     width = seconds * 1_000
     started = F.unix_millis(F.col("started_at").cast("timestamp"))
-    intervals = samples.groupBy((started - F.pmod(started, F.lit(width))).alias("millis")).agg(
+    timed = samples.filter(F.col("started_at").isNotNull())
+    intervals = timed.groupBy((started - F.pmod(started, F.lit(width))).alias("millis")).agg(
         F.sum(F.when(_responded(OK), F.col("accepted")).otherwise(0)).alias("accepted"),
         F.count("*").alias("requests"),
         F.count_if(_responded(THROTTLED)).alias("throttled"),
         F.count_if(_failed()).alias("failed"),
-    ).withColumn("day", F.floor(F.col("millis") / DAY_MS))
+    )
+    # Never null, so the join below adds no filter to one side only and both
+    # sides share one scan.
+    day = F.coalesce(F.floor(F.col("millis") / DAY_MS), F.lit(0))
+    intervals = intervals.withColumn("day", day)
     sums = ["accepted", "requests", "throttled", "failed"]
     earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = intervals.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums]).select(

@@ -20,21 +20,23 @@ def page_index(logs: DataFrame, wanted: LogFilter, limit: int) -> DataFrame:
     """
     keys = filter_logs(logs, wanted).select("timestamp", "id")
     placed = with_position(keys, *newest_first())
-    key = F.struct("timestamp", "id")
+    # Only fixed-width buffers, so this stays a hash aggregation.
     pages = placed.groupBy((F.floor(F.col("position") / limit) + 1).alias("page")).agg(
         F.count("*").alias("rows"),
-        F.max(key).alias("first"),
-        F.min(key).alias("last"),
+        F.min_by("timestamp", "position").alias("first_timestamp"),
+        F.min_by("id", "position").alias("first_id"),
+        F.max_by("timestamp", "position").alias("last_timestamp"),
+        F.max_by("id", "position").alias("last_id"),
         F.max("position").alias("end"),
         F.max("total").alias("total"),
     )
-    token = encode_cursor(F.col("last.timestamp"), F.col("last.id"))
+    token = encode_cursor(F.col("last_timestamp"), F.col("last_id"))
     return pages.orderBy("page").select(
         "page",
         "rows",
-        F.col("first.timestamp").alias("first_timestamp"),
-        F.col("first.id").alias("first_id"),
-        F.col("last.timestamp").alias("last_timestamp"),
-        F.col("last.id").alias("last_id"),
+        "first_timestamp",
+        "first_id",
+        "last_timestamp",
+        "last_id",
         F.when(F.col("end") + 1 < F.col("total"), token).alias("next_cursor"),
     )
