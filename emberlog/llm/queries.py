@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import jaccard_join, repetition, secret_spans
+from emberlog.llm import decontaminate, jaccard_join, repetition, secret_spans, sentence_pieces
 from emberlog.llm.shared import table
 
+# Vocabulary files are parameters of the operators; these are the public ones.
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_spans.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_spans.BASE_KINDS))
@@ -38,9 +46,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_report(table(spark, sf_dir, "documents"))
 
 
+def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = sentence_pieces.encode_texts(table(spark, sf_dir, "documents"), PIECE_MODEL)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip")
+
+
 QUERIES: dict[str, Query] = {
+    "op1_decontamination": op1_decontamination,
     "op6_secrets": op6_secrets,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
+    "op10_sentence_pieces": op10_sentence_pieces,
 }
 ORACLES: dict[str, str] = {}

@@ -24,6 +24,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+# Lower case, and ASCII punctuation as blanks.
+_PLAIN = _LOWER.copy()
+_PLAIN[[c for c in range(33, 127) if not chr(c).isalnum()]] = 0x20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,18 +77,18 @@ class Words:
     ``data`` holds the bytes of all texts, ``edges`` where each text begins (and
     the end), ``starts`` and ``ends`` the words' places in ``data``, ``first`` the
     number of the first word of each text (and the count), ``doc`` the text of
-    each word.
+    each word. ``lower`` lowers A-Z; ``plain`` also reads ASCII punctuation as blank.
     """
 
-    def __init__(self, texts: pa.Array, lower: bool = False):
+    def __init__(self, texts: pa.Array, lower: bool = False, plain: bool = False):
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
         offsets = np.frombuffer(texts.buffers()[1], np.int64)
         offsets = offsets[texts.offset : texts.offset + len(texts) + 1]
         whole = texts.buffers()[2]
         data = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)
         self.data = data[offsets[0] : offsets[-1]]
-        if lower:
-            self.data = _LOWER[self.data]
+        if lower or plain:
+            self.data = (_PLAIN if plain else _LOWER)[self.data]
         self.edges = offsets - offsets[0]
         size = len(self.data)
         self.blank = _SPACE[self.data]
