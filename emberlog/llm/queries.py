@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import decontaminate, jaccard_join, repetition, secret_spans, sentence_pieces
+from emberlog.llm import decontaminate, jaccard_join, repeated_spans, repetition, secret_spans, sentence_pieces
 from emberlog.llm.shared import table
 
 # Vocabulary files are parameters of the operators; these are the public ones.
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = secret_spans.find_secrets(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_spans.BASE_KINDS))
@@ -53,6 +57,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_secrets": op6_secrets,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
