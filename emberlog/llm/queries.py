@@ -7,10 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from emberlog.llm import decontaminate, jaccard_join, repeated_spans, repetition, secret_spans, sentence_pieces
-from emberlog.llm.shared import table
+from emberlog.llm import (
+    decontaminate, jaccard_join, language, quality, repeated_spans, repetition, secret_spans,
+    sentence_pieces, token_files,
+)
+from emberlog.llm.shared import stored, table
+from emberlog.session import scratch_dir
 
 # Vocabulary files are parameters of the operators; these are the public ones.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +25,21 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rest = language.remainder("doc_id", 3)
+    model = language.learn(docs.where(rest != 1).where("text is not null and lang is not null"))
+    return language.predict(docs, model).select(
+        "doc_id", (rest == 1).alias("held_out"), "lang_pred", "score"
+    )
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), folder, TOKENIZER)
+    return token_files.read_tokens(spark, folder)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
@@ -42,6 +62,15 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    described = stored(quality.describe(table(spark, sf_dir, "documents")), "stats")
+    rest = language.remainder("doc_id", 5)
+    known = quality.labelled(described.where(rest != 0), table(spark, sf_dir, "labels"), "quality")
+    return quality.scored(described, quality.fit(known)).select(
+        "doc_id", (rest == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -57,8 +86,11 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_language": op3_language,
+    "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_secrets": op6_secrets,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentence_pieces": op10_sentence_pieces,
