@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import (
-    decontaminate, jaccard_join, language, quality, repeated_spans, repetition, secret_spans,
-    sentence_pieces, token_files,
+    decontaminate, html_text, jaccard_join, language, quality, repeated_spans, repetition,
+    secret_spans, sentence_pieces, token_files,
 )
 from emberlog.llm.shared import stored, table
 from emberlog.session import scratch_dir
@@ -25,6 +25,14 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_text.train(html_text.training_sample(pages))
+    return html_text.extract(pages, model).select(
+        "page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars")
+    )
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rest = language.remainder("doc_id", 3)
@@ -86,6 +94,7 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_text": op2_html_text,
     "op3_language": op3_language,
     "op4_token_files": op4_token_files,
     "op5_substring_dedup": op5_substring_dedup,
