@@ -15,6 +15,7 @@ there are never more such pairs than list entries. A set that links to a pivot
 takes the pivot's answers: within a connected class nothing more is computed.
 Sets of one pivot differ by what their counted intersections with it say: if two
 such distances are too far apart the sets cannot link (triangle inequality).
+Parities of the sets rule out most other pairs before any text is read again.
 What is left, pairs of different classes that pass all bounds, is counted exactly
 as well, so no link between classes is lost.
 
@@ -40,7 +41,7 @@ from emberlog.llm.shared import BitSet, blocks_of, components, gathered, merge_b
 from emberlog.llm.words import U64, Words, mix, ngrams, pieces, signed
 
 # Cells of the counters that put rare shingles first; a fixed size.
-LOG_CELLS = 19
+LOG_CELLS = 20
 
 
 def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,15 +75,60 @@ def prefix_size(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def parities(member: np.ndarray) -> bytes:
+    """For each of some places whether an odd number of the set's members falls on it.
+
+    There are about half as many places as members, a power of two. Two sets
+    differ in at least as many members as their parities differ in places.
+    """
+    places = 64
+    while 2 * places < len(member):
+        places *= 2
+    odd = np.bincount((member & U64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Places in which two parities differ; the longer one is folded to the shorter."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the parities of their sets do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of = batch.to_pydict()
+            keep = [
+                apart(x, y) * (100 + percent) <= (100 - percent) * both
+                for x, y, both in zip(of["of_a"], of["of_b"], of["sizes"], strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = classes.groupBy("class_id").agg(F.first("n_shingles").alias("size"), F.first("parities").alias("of"))
+    joined = (
+        pairs.join(one.select(F.col("class_id").alias("a"), F.col("size").alias("s"), F.col("of").alias("of_a")), "a")
+        .join(one.select(F.col("class_id").alias("b"), F.col("size").alias("t"), F.col("of").alias("of_b")), "b")
+    )
+    return joined.select("a", "b", "of_a", "of_b", (F.col("s") + F.col("t")).alias("sizes")).mapInArrow(
+        run, "a long, b long"
+    )
+
+
 def summaries(docs: DataFrame, n: int) -> DataFrame:
-    """Rows of two kinds: a set's size and class key, and counters of shingles in blocks."""
+    """Rows of two kinds: a set's size, class key and parities, and counters of shingles in blocks."""
     cells = 1 << LOG_CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(cells, np.uint32)
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()),
-             ("block", pa.int64()), ("body", pa.binary())]
+             ("parities", pa.binary()), ("block", pa.int64()), ("body", pa.binary())]
         )
 
         def rows(**known):
@@ -100,13 +146,14 @@ def summaries(docs: DataFrame, n: int) -> DataFrame:
                 n_shingles=pa.array([len(m) for m in members], pa.int64()),
                 key_a=signed(np.array([m.sum(dtype=U64) for m in members], U64)),
                 key_b=signed(np.array([mix(m ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) for m in members], U64)),
+                parities=pa.array([parities(m) for m in members], pa.binary()),
             )
         blocks = blocks_of(counters)
         if blocks.num_rows:
             yield rows(block=blocks.column(0), body=blocks.column(1))
 
     return docs.mapInArrow(
-        run, "doc_id long, n_shingles long, key_a long, key_b long, block long, body binary"
+        run, "doc_id long, n_shingles long, key_a long, key_b long, parities binary, block long, body binary"
     )
 
 
@@ -159,7 +206,8 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     summary = stored(summaries(docs, n), "sets")
-    each = summary.where(F.col("n_shingles").isNotNull()).select("doc_id", "n_shingles", "key_a", "key_b")
+    sets_of = summary.where(F.col("n_shingles").isNotNull())
+    each = sets_of.select("doc_id", "n_shingles", "key_a", "key_b")
     counters = gathered(
         merge_blocks(summary.where(F.col("block").isNotNull()).select("block", "body"), "uint32", either=False),
         1 << LOG_CELLS, "uint32",
@@ -167,9 +215,12 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
     sent = spark.sparkContext.broadcast(counters)
     # A set links with another only if it can lose a shingle and still pass.
     smallest = -(-percent // (100 - percent))
-    filled = each.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    filled = sets_of.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = stored(
-        filled.groupBy("n_shingles", "key_a", "key_b").agg(F.min("doc_id").alias("class_id")), "classes"
+        filled.groupBy("n_shingles", "key_a", "key_b").agg(
+            F.min("doc_id").alias("class_id"), F.min("parities").alias("parities")
+        ),
+        "classes",
     )
 
     def entries(batches: Iterator[pa.RecordBatch], live: BitSet | None) -> Iterator[pa.RecordBatch]:
@@ -232,12 +283,12 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
         .where("entries > 1")
         .select("token", *[F.col(f"y.{c}").alias(f"y_{c}") for c in ("doc_id", "size", "place")])
     )
-    first = stored(
+    first = (
         x.join(pivots, "token")
         .where((F.col("x_doc_id") > F.col("y_doc_id")) & may_link(percent))
-        .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct(),
-        "pairs",
+        .select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
     )
+    first = stored(near_enough(first, classes, percent), "pairs")
     stars = stored(linked(docs, first, n, percent), "stars")
     joined = components(stars.where("links").select("a", "b"))
     labels = classes.select(F.col("class_id").alias("id")).join(joined, "id", "left").select(
@@ -263,18 +314,18 @@ def jaccard_components(documents: DataFrame, n: int = 3, percent: int = 90) -> D
         F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"))
     others = placed.select("token", "block", *[F.col(c).alias(f"y_{c}") for c in fields])
     slack = 1 - percent / 100 + 1e-9
-    apart = F.coalesce(
+    far = F.coalesce(
         (F.col("x_pivot") == F.col("y_pivot")) & (F.abs(F.col("x_away") - F.col("y_away")) > slack), F.lit(False)
     )
     rest = meets.join(others, ["token", "block"]).where(
         (F.col("x_doc_id") > F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component"))
-        & may_link(percent) & ~apart
+        & may_link(percent) & ~far
     )
-    rest = stored(
+    rest = (
         rest.select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
-        .join(stars.select("a", "b"), ["a", "b"], "left_anti"),
-        "pairs",
+        .join(stars.select("a", "b"), ["a", "b"], "left_anti")
     )
+    rest = stored(near_enough(rest, classes, percent), "pairs")
     more = linked(docs, rest, n, percent).where("links").select("a", "b")
     edges = reduce(DataFrame.union, [stars.where("links").select("a", "b"), more])
     final = components(edges).select(F.col("id").alias("class_id"), "component")
