@@ -15,13 +15,28 @@ from emberlog.session import scratch_dir
 BLOCK = 1 << 16
 
 
+# Rows and bytes that Spark hands to a Python task at once, which bounds its memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set the bounds above where the session's own are larger."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        held = spark.conf.get(key).rstrip("b")
+        if not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, str(most))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(frame: DataFrame, purpose: str) -> DataFrame:
     """The frame written to the shared folder and read back, which cuts its lineage."""
     spark = frame.sparkSession
+    small_batches(spark)
     path = scratch_dir(spark, purpose)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)

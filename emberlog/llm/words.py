@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 # Texts are worked on in pieces of whole documents of about so many bytes, which
 # bounds the memory of a task; a longer document is one piece.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -53,7 +53,7 @@ def powers(base: int, count: int) -> tuple[np.ndarray, np.ndarray]:
         down = np.full(size, pow(base, -1, 1 << 64), U64)
         down[0] = 1
         known = (np.cumprod(up), np.cumprod(down))
-        if size <= 4 * CHUNK_BYTES:
+        if size <= 8 * CHUNK_BYTES:
             _powers[base] = known
     return known
 
