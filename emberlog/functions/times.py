@@ -19,9 +19,28 @@ BUCKET_MICROS = {
 }
 
 
+def utc_date(timestamp: Column) -> Column:
+    """The UTC day, whatever the session's zone."""
+    return F.date_from_unix_date(F.floor(F.unix_millis(timestamp) / F.lit(DAY_MS)).cast("int"))
+
+
+def utc_midnight(day: Column) -> Column:
+    """The start of a UTC day, whatever the session's zone."""
+    return F.timestamp_millis(F.unix_date(day).cast("bigint") * DAY_MS)
+
+
 def iso_text(timestamp: Column) -> Column:
-    """UTC text with three fraction digits and a ``Z``."""
-    return F.date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """UTC text with three fraction digits and a ``Z``, whatever the session's zone."""
+    millis = F.pmod(F.unix_millis(timestamp.cast("timestamp")), F.lit(DAY_MS)).cast("int")
+
+    def part(unit: int, count: int, digits: int) -> Column:
+        return F.lpad((F.floor(millis / unit) % count).cast("string"), digits, "0")
+
+    return F.concat(
+        utc_date(timestamp.cast("timestamp")).cast("string"), F.lit("T"), part(3_600_000, 24, 2),
+        F.lit(":"), part(60_000, 60, 2), F.lit(":"), part(1_000, 60, 2), F.lit("."),
+        part(1, 1_000, 3), F.lit("Z"),
+    )
 
 
 EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)

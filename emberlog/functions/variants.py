@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 INTEGER_TEXT_LIMIT = 1e21
 FRACTION_TEXT_LIMIT = 1e-6
+JSON_TOKEN = r'"(?:[^"\\]|\\.)*"|[\[\]{},:]|[^\[\]{},:"\s]+'
 
 
 def wrapped_values(text: Column) -> Column:
@@ -98,11 +99,8 @@ def scalar_text(value: Column, type_: Column) -> Column:
 
 def display_text(value: Column) -> Column:
     """Any JSON value as it reads in a message: absent is ``undefined``, an
-    object is ``[object Object]``, an array is its items, and theirs, joined by
-    commas with nulls left empty."""
-
-    def items(outer: Column) -> Column:
-        return F.coalesce(array_items(outer), F.array(outer))
+    object is ``[object Object]``, an array is its items joined by commas with
+    nulls left empty, and so are arrays in it, however deep."""
 
     def item_text(item: Column) -> Column:
         type_ = type_name(item)
@@ -112,9 +110,41 @@ def display_text(value: Column) -> Column:
             .otherwise(scalar_text(item, type_))
         )
 
-    every = F.flatten(F.transform(items(value), items))
+    # The leaves of an array in its JSON text: strings, runs of other characters,
+    # and the marks between them. Marks at depth 0 of any object part leaves.
+    tokens = F.regexp_extract_all(F.to_json(value), F.lit(JSON_TOKEN), F.lit(0))
+    start = F.struct(
+        F.lit(0).alias("depth"), F.lit("[").alias("before"), F.array().cast("array<string>").alias("leaves")
+    )
+
+    def step(state: Column, token: Column) -> Column:
+        opened, closed = token == "{", token == "}"
+        depth = state["depth"] + opened.cast("int") - closed.cast("int")
+        inside = state["depth"] > 0
+        mark = token.isin("[", "]", ",")
+        # An empty place reads as an empty text: an empty array, which is one
+        # leaf without text.
+        leaf = (
+            F.when(inside, F.lit(None))
+            .when(opened, F.lit('{}'))
+            .when((token == "]") & (state["before"] == "["), F.lit(""))
+            .when(mark, F.lit(None))
+            .otherwise(token)
+        )
+        leaves = F.when(leaf.isNull(), state["leaves"]).otherwise(F.concat(state["leaves"], F.array(leaf)))
+        return F.struct(
+            depth.alias("depth"),
+            F.when(inside, state["before"]).otherwise(token).alias("before"),
+            leaves.alias("leaves"),
+        )
+
+    leaves = F.aggregate(tokens, start, step, lambda state: state["leaves"])
+    deep = F.array_join(
+        F.transform(leaves, lambda leaf: F.when(leaf == "", "").otherwise(item_text(F.try_parse_json(leaf)))), ","
+    )
     return (
         F.when(value.isNull(), "undefined")
         .when(type_name(value) == "VOID", "null")
-        .otherwise(F.array_join(F.transform(every, item_text), ","))
+        .when(type_name(value).startswith("ARRAY"), deep)
+        .otherwise(item_text(value))
     )

@@ -17,7 +17,7 @@ def acknowledge(verdicts: DataFrame) -> DataFrame:
     each batch down to one record before the shuffle.
     """
     rejected = F.when(F.col("reason").isNotNull(), F.struct("index", "reason"))
-    counted = verdicts.groupBy("batch_id", "received_at", "envelope_error").agg(
+    counted = verdicts.groupBy("batch_id", "received_at", "request", "envelope_error").agg(
         F.count_if(F.col("index").isNotNull() & F.col("reason").isNull()).alias("accepted"),
         F.array_sort(F.collect_list(rejected)).alias("rejected"),
     )

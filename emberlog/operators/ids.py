@@ -2,49 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberlog.operators.positions import with_position
+from emberlog.operators.positions import ROW_BITS
 from emberlog.schema import MAX_BATCH_ENTRIES
 
-# Up to this many batches the ranks come from one sorted task; a key is a few
-# dozen bytes. Beyond it they come from the distributed ranking.
-ONE_TASK_BATCHES = 100_000
 
+def in_arrival_order(batches: DataFrame) -> DataFrame:
+    """Raw batches in slices of arrival order, with ``request``, a number that is
+    unique for each row and grows along the order, and a ``fingerprint`` of it.
 
-def count_batches(batches: DataFrame) -> int:
-    """Number of batches; a repeated batch id is refused, since two batches of
-    one id could not be told apart in the acknowledgements."""
-    counts = batches.agg(
-        F.count("*").alias("batches"), F.count_distinct("batch_id").alias("ids")
-    ).first()
-    if counts["batches"] != counts["ids"]:
-        raise ValueError(
-            f"batch_id must be unique: {counts['batches']} batches, {counts['ids']} ids"
-        )
-    return counts["batches"]
+    Two requests of one ``batch_id`` are two requests; which of two that are equal
+    throughout comes first makes no difference.
+    """
+    marked = batches.withColumn("fingerprint", F.xxhash64("batch_id", "received_at", "body"))
+    order = ("received_at", "batch_id", "fingerprint")
+    arranged = marked.repartitionByRange(*order).sortWithinPartitions(*order)
+    return arranged.withColumn("request", F.monotonically_increasing_id())
 
 
-def rank_batches(batches: DataFrame, count: int) -> DataFrame:
-    """``(batch_id, batch_rank)`` in arrival order, from 0.
+def slice_of(request: str = "request") -> Column:
+    return F.shiftright(request, ROW_BITS)
 
-    Only the two narrow key columns are ordered, never the bodies.
-    """
-    keys = batches.select("received_at", "batch_id")
-    order = (F.asc("received_at"), F.asc("batch_id"))
-    if count <= ONE_TASK_BATCHES:
-        rank = F.row_number().over(Window.orderBy(*order)) - 1
-        return keys.select("batch_id", rank.cast("bigint").alias("batch_rank"))
-    ranked = with_position(keys, *order)
-    return ranked.select("batch_id", F.col("position").alias("batch_rank"))
+
+def slice_starts(requests: DataFrame) -> DataFrame:
+    """``(slice, start, requests, fingerprint)``, one row per slice: how many
+    requests come before it, how many it has, and what they are."""
+    sizes = requests.groupBy(slice_of().alias("slice")).agg(
+        F.count("*").alias("requests"), F.bit_xor("fingerprint").alias("fingerprint")
+    )
+    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(
+        "slice", F.coalesce(F.sum("requests").over(before), F.lit(0)).alias("start"),
+        "requests", "fingerprint",
+    )
 
 
-def assign_ids(accepted: DataFrame, ranks: DataFrame, first_id: int) -> DataFrame:
-    """Give every accepted entry ``first_id + batch rank x 5,000 + index``.
+def assign_ids(accepted: DataFrame, starts: DataFrame, first_id: int) -> DataFrame:
+    """Give every accepted entry ``first_id + request place x 5,000 + index``.
 
-    A batch holds at most 5,000 entries, so each one owns a range of ids and no
-    row-by-row numbering is needed; unused ids are gaps. The ranks are a few
-    bytes per batch and Spark decides from their size how to join them.
+    A request holds at most 5,000 entries, so each one owns a range of ids and no
+    row-by-row numbering is needed; unused ids are gaps. The starts have one row
+    per slice, which bounds the broadcast.
     """
-    id_ = F.lit(first_id).cast("bigint") + F.col("batch_rank") * MAX_BATCH_ENTRIES + F.col("index")
-    return accepted.join(ranks, "batch_id").withColumn("id", id_)
+    place = F.col("start") + F.col("request").bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+    id_ = F.lit(first_id).cast("bigint") + place * MAX_BATCH_ENTRIES + F.col("index")
+    sliced = accepted.withColumn("slice", slice_of())
+    return sliced.join(F.broadcast(starts.select("slice", "start")), "slice").withColumn("id", id_)

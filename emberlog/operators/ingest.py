@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from emberlog.operators.acknowledge import acknowledge
-from emberlog.operators.ids import assign_ids, count_batches, rank_batches
+from emberlog.operators.ids import assign_ids, in_arrival_order, slice_starts
 from emberlog.operators.validation import accepted_entries, judge_batches, rejected_entries
 from emberlog.schema import MAX_BATCH_ENTRIES, RETENTION_DAYS
 from emberlog.session import configure
 from emberlog.sources.log_table import (
     LogTable,
+    batch_folder,
     commit,
-    release_reservations,
-    reserve_ids,
+    delete_folder,
+    reserve,
     write_acknowledgements,
     write_logs,
     write_rejected,
@@ -26,25 +26,36 @@ def ingest(
 ) -> int:
     """Validate, store and acknowledge raw batches; returns how many there were.
 
-    Every write replaces what an earlier attempt of the same ``ingest_batch``
-    left, and verdicts and ids do not change between attempts, so a lost run is
-    simply run again. The commit makes rows readable all at once; answers are
-    written after it, so an answered batch is always readable. Name ingest
-    batches ``<writer>-<number>`` with numbers of one width.
+    Requests are laid out by arrival once, judged in that layout, and the verdicts
+    are written to the table's own staging folder, so that a lost executor does not
+    bring the parsing back. Every write replaces what an earlier attempt of the same
+    ``ingest_batch`` left, and verdicts and ids do not change between attempts, so
+    a lost run is simply run again. The commit makes rows readable all at once;
+    answers are written after it, so an answered batch is always readable. Name
+    ingest batches ``<writer>-<number>`` with growing numbers.
     """
     spark = configure(batches.sparkSession)
-    count = count_batches(batches)
-    if count == 0:
-        return 0
-    first_id = reserve_ids(spark, table, ingest_batch, count * MAX_BATCH_ENTRIES)
-    verdicts = judge_batches(batches, retention_days).persist(StorageLevel.DISK_ONLY)
-    try:
-        rows = assign_ids(accepted_entries(verdicts), rank_batches(batches, count), first_id)
-        write_logs(rows, table, ingest_batch)
-        write_rejected(rejected_entries(verdicts), table, ingest_batch)
-        commit(spark, table, ingest_batch)
-        write_acknowledgements(acknowledge(verdicts), table, ingest_batch)
-        release_reservations(spark, table, ingest_batch)
-    finally:
-        verdicts.unpersist()
+    name = batch_folder(ingest_batch)
+    staging = table.part(f"staging/{name}")
+    judged = judge_batches(in_arrival_order(batches), retention_days)
+    judged.write.mode("overwrite").parquet(staging)
+    verdicts = spark.read.schema(judged.schema).parquet(staging)
+    # Every request has one row without an index or with the first.
+    starts = slice_starts(verdicts.filter("index is null or index = 0")).collect()
+    count = sum(row["requests"] for row in starts)
+    if count:
+        whole = 0
+        for row in starts:
+            whole ^= row["fingerprint"]
+        starts = spark.createDataFrame(starts, "slice long, start long, requests long, fingerprint long")
+        first_id = reserve(
+            spark, table, ingest_batch, f"{count}:{whole & (1 << 64) - 1:016x}", count * MAX_BATCH_ENTRIES
+        )
+        if first_id is not None:
+            write_logs(assign_ids(accepted_entries(verdicts), starts, first_id), table, name)
+            write_rejected(rejected_entries(verdicts), table, name)
+            commit(spark, table, ingest_batch)
+        # A replay after the commit has only its answers to write again.
+        write_acknowledgements(acknowledge(verdicts), table, name)
+    delete_folder(spark, staging)
     return count

@@ -6,16 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberlog.session import shared_dir
-
-# Values are told apart in three rounds of 20 bits, at a millionth of their unit.
-RESOLUTION = 1_000_000
-ROUND_SHIFTS = (40, 20, 0)
-KEY_LIMIT = 1 << 59
-
-# Up to this many different values in the widest group, one running sum per
-# group finds the ranks directly.
-ONE_TASK_VALUES = 1_000_000
+from emberlog.operators.positions import sliced
 
 
 def nearest_rank(percent: float, count: Column) -> Column:
@@ -30,59 +21,39 @@ def exact_percentiles(
 
     The built-in exact percentile keeps all distinct values of a group in one
     task. Here equal values are counted first, which also spreads a hot group
-    over all tasks; the counts are checkpointed, since several steps read them.
-    In a group with too many values each wanted rank is narrowed down: counts
-    per coarse range say which range holds it, then counts inside that range,
-    down to the value. A running sum then covers at most 2^20 ranges.
+    over all tasks. The counts are laid out in slices, ranges of group and value;
+    counts per slice say which slice holds a wanted rank, and only rows of such
+    a slice are added up. Slices are as small as shuffle partitions, however
+    large a group is and whatever its values are.
     """
     by = list(by)
-    shared_dir(samples.sparkSession)
     counted = (
         samples.filter(F.col(value).isNotNull())
         .groupBy(*by, F.col(value).alias("value"))
         .agg(F.count("*").alias("n"))
-        .checkpoint()
     )
-    widest = counted.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-    scaled = F.floor(
-        F.greatest(F.least(F.col("value") * RESOLUTION, F.lit(float(KEY_LIMIT - 1))),
-                   F.lit(float(-KEY_LIMIT)))
+    laid = sliced(counted, *[F.asc(name) for name in (*by, "value")]).drop("place")
+    group = Window.partitionBy(*by)
+    upto = F.sum("size").over(group.orderBy("slice"))
+    sizes = (
+        laid.groupBy(*by, "slice").agg(F.sum("n").alias("size"))
+        .withColumns({"upto": upto, "total": F.sum("size").over(group)})
     )
-    keyed = counted.withColumn("key", scaled + F.lit(KEY_LIMIT))
-
     ranks = F.explode(F.array(*[
         F.struct(F.lit(name).alias("name"), nearest_rank(percent, F.col("total")).alias("rank"))
         for name, percent in percents.items()
     ]))
+    before = F.col("upto") - F.col("size")
     wanted = (
-        keyed.groupBy(*by).agg(F.sum("n").alias("total"))
-        .select(*by, F.lit(0).cast("bigint").alias("range"), ranks.alias("r"))
-        .select(*by, "range", "r.*")
+        sizes.select(*by, "slice", "size", "upto", ranks.alias("r"))
+        .filter((F.col("r.rank") > before) & (F.col("r.rank") <= F.col("upto")))
+        .select(*by, "slice", F.col("r.name").alias("name"), (F.col("r.rank") - before).alias("rank"))
+    )
+    running = F.sum("n").over(Window.partitionBy(*by, "slice", "name").orderBy("value"))
+    held = laid.join(wanted, [*by, "slice"]).withColumn("running", running)
+    found = held.filter(
+        (F.col("rank") > F.col("running") - F.col("n")) & (F.col("rank") <= F.col("running"))
     )
-    parent: Column = F.lit(0).cast("bigint")
-    if widest > ONE_TASK_VALUES:
-        for shift in ROUND_SHIFTS:
-            inside = _inside(keyed.withColumn("range", parent), wanted, by)
-            part = F.shiftright("key", shift)
-            wanted = _narrow(inside, wanted, by, part).withColumnRenamed("part", "range")
-            parent = part
-        keyed = _inside(keyed.withColumn("range", parent), wanted, by)
-    found = _narrow(keyed.withColumn("range", parent), wanted, by, F.col("value"))
     return found.groupBy(*by).agg(*[
-        F.max(F.when(F.col("name") == name, F.col("part"))).alias(name) for name in percents
+        F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in percents
     ])
-
-
-def _inside(ranges: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
-    return ranges.join(wanted.select(*by, "range").distinct(), [*by, "range"], "left_semi")
-
-
-def _narrow(inside: DataFrame, wanted: DataFrame, by: list[str], part: Column) -> DataFrame:
-    """Replace every wanted range by its part that holds the rank."""
-    sizes = inside.groupBy(*by, "range", part.alias("part")).agg(F.sum("n").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy(*by, "range").orderBy("part"))
-    parts = sizes.withColumn("upto", upto)
-    joined = wanted.join(parts, [*by, "range"])
-    before = F.col("upto") - F.col("size")
-    held = joined.filter((F.col("rank") > before) & (F.col("rank") <= F.col("upto")))
-    return held.select(*by, "part", "name", (F.col("rank") - before).alias("rank"))

@@ -41,6 +41,7 @@ from emberlog.session import configure
 
 BODY_TOO_LARGE = "request body is too large"
 BODY_NOT_JSON = "request body is not valid JSON"
+NO_CLOCK = "request has no receipt time"
 
 FIELDS = ("timestamp", "level", "service", "message", "attributes")
 
@@ -49,32 +50,36 @@ FIELDS = ("timestamp", "level", "service", "message", "attributes")
 PLAIN_ATTRIBUTES = r"^OBJECT<(?:(?:\w+: (?:STRING|BIGINT|BOOLEAN)(?:, )?)*)>\z"
 
 
+# What is known of the request goes along with every entry of it.
+REQUEST = ("batch_id", "received_at", "request", "fingerprint")
+
+
 def read_envelopes(batches: DataFrame) -> DataFrame:
-    """``(batch_id, received_at, envelope_error, logs)``, the body dropped."""
+    """The request columns, ``envelope_error`` and ``logs``, the body dropped."""
+    request = [
+        F.col(name) if name in batches.columns else F.lit(None).cast("bigint").alias(name)
+        for name in REQUEST
+    ]
     in_size = F.octet_length("body") <= MAX_BODY_BYTES
     parsed = batches.select(
-        "batch_id",
-        "received_at",
+        *request,
         in_size.alias("in_size"),
         F.when(in_size, wrapped_values(F.col("body"))).alias("wrapped"),
         F.when(in_size, is_whole(F.col("body"))).alias("whole"),
     )
     opened = parsed.select(
-        "batch_id",
-        "received_at",
+        *REQUEST,
         "in_size",
         single_value(F.col("wrapped"), F.col("whole")).alias("document"),
     )
     named = opened.select(
-        "batch_id",
-        "received_at",
+        *REQUEST,
         "in_size",
         F.col("document").isNotNull().alias("readable"),
         named_fields(F.col("document"), "logs").alias("fields"),
     )
     listed = named.select(
-        "batch_id",
-        "received_at",
+        *REQUEST,
         "in_size",
         "readable",
         F.col("fields").isNotNull().alias("is_object"),
@@ -83,6 +88,8 @@ def read_envelopes(batches: DataFrame) -> DataFrame:
     entries = F.size("logs")
     error = (
         F.when(~F.col("in_size"), BODY_TOO_LARGE)
+        # Without the clock neither the future nor the retention rule can be held.
+        .when(F.col("received_at").isNull(), NO_CLOCK)
         .when(~F.col("readable"), BODY_NOT_JSON)
         .when(~F.col("is_object"), "request body must be a JSON object")
         .when(F.col("logs").isNull(), "'logs' must be an array")
@@ -92,7 +99,7 @@ def read_envelopes(batches: DataFrame) -> DataFrame:
             F.format_string(f"batch too large: %d entries (max {MAX_BATCH_ENTRIES})", entries),
         )
     )
-    return listed.select("batch_id", "received_at", error.alias("envelope_error"), "logs")
+    return listed.select(*REQUEST, error.alias("envelope_error"), "logs")
 
 
 def explode_entries(envelopes: DataFrame) -> DataFrame:
@@ -100,7 +107,7 @@ def explode_entries(envelopes: DataFrame) -> DataFrame:
     row, without an index, so it is not lost on the way."""
     entries = F.when(F.col("envelope_error").isNull(), F.col("logs"))
     return envelopes.select(
-        "batch_id", "received_at", "envelope_error",
+        *REQUEST, "envelope_error",
         F.posexplode_outer(entries).alias("index", "entry"),
     )
 
@@ -108,7 +115,7 @@ def explode_entries(envelopes: DataFrame) -> DataFrame:
 def judge_batches(batches: DataFrame, retention_days: int = RETENTION_DAYS) -> DataFrame:
     """Verdicts of all entries of raw batches.
 
-    ``(batch_id, received_at, envelope_error, index, reason, timestamp, level,
+    ``(batch_id, received_at, request, fingerprint, envelope_error, index, reason, timestamp, level,
     service, message, attributes)``; an accepted entry has an index and neither
     error nor reason.
     """
@@ -130,7 +137,7 @@ def judge_entries(entries: DataFrame, retention_days: int = RETENTION_DAYS) -> D
     return verdicts
 
 
-CARRIED = ("batch_id", "received_at", "envelope_error", "index")
+CARRIED = (*REQUEST, "envelope_error", "index")
 
 
 @lru_cache(maxsize=4)

@@ -20,6 +20,8 @@ PREFERRED_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Checkpoint files go away with the frames that read them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 

@@ -2,13 +2,14 @@
 
 Below one root::
 
-    logs/event_date=D/ingest_batch=B/   accepted rows
-    rejected/ingest_batch=B/            refused entries with their reasons
-    acknowledgements/ingest_batch=B/    the answer to every batch
-    commits/                            which ingest batches readers may see
-    reservations/ingest_batch=B/        the id range of an ingest batch
-
-One writer at a time works on a table.
+    logs/event_date=D/ingest_batch=B/              accepted rows
+    rejected/received_date=D/ingest_batch=B/       refused entries with their reasons
+    acknowledgements/received_date=D/ingest_batch=B/  the answer to every batch
+    state/                                         what is committed, and the next id
+
+Ingest batches of one writer come one after the other, so what readers may see is
+one number per writer, a filter on folder names. Several writers may work on a
+table; each has its own name, and id ranges never overlap.
 """
 
 from __future__ import annotations
@@ -19,24 +20,20 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from emberlog.functions.times import utc_date
 from emberlog.schema import ACKNOWLEDGEMENT, REJECTED, ROW_COLUMNS, STORED_LOG
+from emberlog.sources.table_state import (
+    TableState,
+    Writer,
+    change_state,
+    folder_name,
+    read_state,
+    split_name,
+    visible_rows,
+)
 
 INGEST_BATCH = T.StructField("ingest_batch", T.StringType())
 
-# ``visible`` false takes an ingest batch out of one day, after its rows were
-# rewritten elsewhere in that day.
-COMMIT = T.StructType([
-    INGEST_BATCH,
-    T.StructField("event_date", T.DateType()),
-    T.StructField("visible", T.BooleanType()),
-])
-
-RESERVATION = T.StructType([
-    T.StructField("first_id", T.LongType()),
-    T.StructField("end_id", T.LongType()),
-    INGEST_BATCH,
-])
-
 REJECTED_ROW = T.StructType([
     T.StructField("batch_id", T.StringType()),
     T.StructField("received_at", T.TimestampType()),
@@ -44,7 +41,9 @@ REJECTED_ROW = T.StructType([
     INGEST_BATCH,
 ])
 
-DAY_FOLDER = r"event_date=(\d{4}-\d{2}-\d{2})"
+RECEIVED_DATE = T.StructField("received_date", T.DateType())
+
+DAY_FOLDER = r"(?:event|received)_date=(\d{4}-\d{2}-\d{2})"
 
 
 @dataclass(frozen=True)
@@ -58,13 +57,17 @@ class LogTable:
     def logs(self) -> str:
         return self.part("logs")
 
+    @property
+    def state(self) -> str:
+        return self.part("state")
+
 
 def _filesystem(spark: SparkSession, path: str):
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
-def _folders(spark: SparkSession, path: str) -> list[str]:
+def folders(spark: SparkSession, path: str) -> list[str]:
     filesystem, hadoop = _filesystem(spark, path)
     if not filesystem.exists(hadoop):
         return []
@@ -84,16 +87,23 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def _replace_batch(rows: DataFrame, path: str, ingest_batch: str) -> None:
-    """Write one ingest batch folder; writing it again replaces it."""
+    """Write one ingest batch, by the UTC day its requests came; writing it again replaces it."""
     (
-        rows.withColumn("ingest_batch", F.lit(ingest_batch))
+        rows.withColumn("received_date", utc_date(F.col("received_at")))
+        .withColumn("ingest_batch", F.lit(ingest_batch))
+        .repartition("received_date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ingest_batch")
+        .partitionBy("received_date", "ingest_batch")
         .parquet(path)
     )
 
 
+def batch_folder(ingest_batch: str) -> str:
+    """The folder name of an ingest batch, with its number at full width."""
+    return folder_name(*split_name(ingest_batch))
+
+
 def write_logs(rows: DataFrame, table: LogTable, ingest_batch: str) -> None:
     """Write rows into their UTC day, replacing what this ingest batch wrote.
 
@@ -103,7 +113,7 @@ def write_logs(rows: DataFrame, table: LogTable, ingest_batch: str) -> None:
     """
     days = rows.select(
         *ROW_COLUMNS,
-        F.to_date("timestamp").alias("event_date"),
+        utc_date(F.col("timestamp")).alias("event_date"),
         F.lit(ingest_batch).alias("ingest_batch"),
     )
     (
@@ -127,76 +137,78 @@ def write_acknowledgements(acks: DataFrame, table: LogTable, ingest_batch: str)
     _replace_batch(stamped, table.part("acknowledgements"), ingest_batch)
 
 
-def write_commits(commits: DataFrame, table: LogTable) -> None:
-    """Add commit rows as one file, which appears whole or not at all."""
-    commits.coalesce(1).write.mode("append").parquet(table.part("commits"))
+def reserve(
+    spark: SparkSession, table: LogTable, ingest_batch: str, fingerprint: str, count: int
+) -> int | None:
+    """First id of the range kept for an ingest batch, or None if it is committed already.
+
+    The range is kept before any row is written, and a replay of the same data gets
+    it again. Other data under a name in use is refused: it would take the place of
+    rows that have been acknowledged.
+    """
+    name, number = split_name(ingest_batch)
+
+    def change(state: TableState) -> TableState:
+        writer = state.writers.setdefault(name, Writer())
+        if number == writer.open:
+            if writer.fingerprint != fingerprint:
+                raise ValueError(f"ingest batch {ingest_batch!r} was given other data before")
+            return state
+        if number <= max(writer.open, writer.visible):
+            raise ValueError(f"ingest batch {ingest_batch!r} comes after a later one of its writer")
+        if writer.open > writer.visible:
+            writer.abandoned.append(writer.open)
+        writer.open, writer.fingerprint, writer.first_id = number, fingerprint, state.next_id
+        state.next_id += count
+        return state
+
+    writer = change_state(spark, table.state, change).writers[name]
+    return None if writer.visible == number else writer.first_id
 
 
 def commit(spark: SparkSession, table: LogTable, ingest_batch: str) -> None:
-    write_commits(spark.createDataFrame([(ingest_batch, None, True)], COMMIT), table)
+    """Make the rows of an ingest batch readable all at once."""
+    name, number = split_name(ingest_batch)
 
+    def change(state: TableState) -> TableState:
+        state.writers.setdefault(name, Writer()).visible = number
+        return state
 
-def read_commits(spark: SparkSession, table: LogTable) -> DataFrame:
-    return _read(spark, table.part("commits"), COMMIT)
+    change_state(spark, table.state, change)
 
 
 def read_logs(spark: SparkSession, table: LogTable) -> DataFrame:
     """Rows of committed ingest batches, with the ``event_date`` folder column.
 
-    Commits are one short row per ingest batch; Spark broadcasts them while they
-    are small and shuffles otherwise. Filters on the result reach the scan.
+    Which folders count is decided from their names, before any file is opened.
+    Filters on the result reach the scan.
     """
-    stored = _read(spark, table.logs, STORED_LOG)
-    commits = read_commits(spark, table)
-    live = commits.filter("visible").select("ingest_batch")
-    replaced = commits.filter("not visible").select("event_date", "ingest_batch")
-    return stored.join(live, "ingest_batch", "left_semi").join(
-        replaced, ["event_date", "ingest_batch"], "left_anti"
-    )
+    return read_logs_as(spark, table, read_state(spark, table.state))
+
+
+def read_logs_as(spark: SparkSession, table: LogTable, state: TableState) -> DataFrame:
+    """Rows that readers of a given state see."""
+    return _read(spark, table.logs, STORED_LOG).filter(visible_rows(state))
+
+
+def _read_answers(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return _read(spark, path, T.StructType([*schema.fields, RECEIVED_DATE])).drop("received_date")
 
 
 def read_rejected(spark: SparkSession, table: LogTable) -> DataFrame:
-    return _read(spark, table.part("rejected"), REJECTED_ROW)
+    return _read_answers(spark, table.part("rejected"), REJECTED_ROW)
 
 
 def read_acknowledgements(spark: SparkSession, table: LogTable) -> DataFrame:
     schema = T.StructType([*ACKNOWLEDGEMENT.fields, INGEST_BATCH])
-    return _read(spark, table.part("acknowledgements"), schema)
+    return _read_answers(spark, table.part("acknowledgements"), schema)
 
 
-def log_days(spark: SparkSession, table: LogTable) -> list[date]:
-    """Days that have a folder, one name per day; other names are passed over."""
-    found = (re.fullmatch(DAY_FOLDER, name) for name in _folders(spark, table.logs))
+def days_of(spark: SparkSession, path: str) -> list[date]:
+    """Days that have a folder below a path; other names are passed over."""
+    found = (re.fullmatch(DAY_FOLDER, name) for name in folders(spark, path))
     return sorted(date.fromisoformat(match[1]) for match in found if match)
 
 
-def reserve_ids(
-    spark: SparkSession, table: LogTable, ingest_batch: str, count: int
-) -> int:
-    """First id of the range kept for an ingest batch.
-
-    The range is written before any row and read back when the ingest batch is
-    replayed, so its rows get the same ids again.
-    """
-    path = table.part("reservations")
-    kept = _read(spark, path, RESERVATION)
-    top, own = kept.agg(
-        F.max("end_id"), F.max(F.when(F.col("ingest_batch") == ingest_batch, F.col("first_id")))
-    ).first()
-    if own is not None:
-        return own
-    first = 1 if top is None else top
-    reserved = spark.createDataFrame([(first, first + count)], "first_id long, end_id long")
-    _replace_batch(reserved, path, ingest_batch)
-    return first
-
-
-def release_reservations(spark: SparkSession, table: LogTable, ingest_batch: str) -> None:
-    """Forget the ranges of this writer's earlier ingest batches. They are
-    committed, and only the last one can be replayed."""
-    writer = ingest_batch.rpartition("-")[0]
-    path = table.part("reservations")
-    for name in _folders(spark, path):
-        other = name.removeprefix("ingest_batch=")
-        if other.rpartition("-")[0] == writer and other < ingest_batch:
-            delete_folder(spark, f"{path}/{name}")
+def log_days(spark: SparkSession, table: LogTable) -> list[date]:
+    return days_of(spark, table.logs)

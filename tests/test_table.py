@@ -6,20 +6,25 @@ import pytest
 from conftest import NOW, entry, envelope
 from pyspark.sql import functions as F
 
+from emberlog.arguments import parse_filter
 from emberlog.functions.times import text_millis
 from emberlog.operators import ids, maintenance
+from emberlog.operators.buckets import count_by_bucket
 from emberlog.operators.ingest import ingest
 from emberlog.operators.listing import fetch_page
 from emberlog.operators.measures import freshness, freshness_probes
+from emberlog.operators.pages import page_index
 from emberlog.operators.positions import with_position
 from emberlog.sources.batches import read_batch_files, read_batch_table
 from emberlog.sources.log_table import (
     LogTable,
+    batch_folder,
     commit,
     log_days,
     read_acknowledgements,
     read_logs,
     read_rejected,
+    reserve,
     write_logs,
 )
 from emberlog.sources.synthetic import entries_to_batches, synthetic_entries
@@ -55,15 +60,18 @@ def test_ids_follow_batch_then_entry_order(spark, table, batches):
     assert sorted(r["status"] for r in acks.collect()) == [200, 200, 200, 400]
 
 
-def test_distributed_ranks_equal_one_task_ranks(spark, batches, monkeypatch):
+def test_requests_number_by_arrival(spark, batches):
     raw = batches(*["{}"] * 500).union(
         batches(*["{}"] * 100, received_at=NOW - timedelta(hours=1), prefix="early")
     )
-    one = {tuple(r) for r in ids.rank_batches(raw, 600).collect()}
-    monkeypatch.setattr(ids, "ONE_TASK_BATCHES", 0)
-    many = {tuple(r) for r in ids.rank_batches(raw, 600).collect()}
-    assert one == many and {r for _, r in one} == set(range(600))
-    assert dict(one)["early0000"] == 0
+    placed = ids.in_arrival_order(raw.repartition(7)).cache()
+    starts = {r["slice"]: r["start"] for r in ids.slice_starts(placed).collect()}
+    ranks = {r["batch_id"]: starts[r["request"] >> 33] + (r["request"] & (1 << 33) - 1)
+             for r in placed.collect()}
+    assert sorted(ranks, key=ranks.get) == (
+        [f"early{i:04d}" for i in range(100)] + [f"b{i:04d}" for i in range(500)]
+    )
+    assert sorted(ranks.values()) == list(range(600))
 
 
 def test_positions_with_one_hot_key(spark):
@@ -75,10 +83,88 @@ def test_positions_with_one_hot_key(spark):
     assert {r["total"] for r in rows} == {5_000}
 
 
-def test_repeated_batch_id_is_refused(table, batches):
-    twice = batches(envelope(entry())).union(batches(envelope(entry())))
-    with pytest.raises(ValueError, match="batch_id must be unique"):
-        ingest(twice, table, "w-0")
+def test_repeated_batch_id_is_two_requests(spark, table, batches):
+    twice = batches(envelope(entry(), entry())).union(batches(envelope(entry()))).union(batches("{"))
+    assert ingest(twice, table, "w-0") == 3
+    assert len({r[0] for r in stored(spark, table)}) == 3
+    acks = read_acknowledgements(spark, table).collect()
+    assert sorted((r["batch_id"], r["status"], r["accepted"]) for r in acks) == [
+        ("b0000", 200, 1), ("b0000", 200, 2), ("b0000", 400, 0)
+    ]
+
+
+def test_other_data_under_a_used_name_is_refused(spark, table, batches):
+    ingest(batches(envelope(entry(message="first"))), table, "w-3")
+    with pytest.raises(ValueError, match="other data"):
+        ingest(batches(envelope(entry(message="second"))), table, "w-3")
+    with pytest.raises(ValueError, match="after a later one"):
+        ingest(batches(envelope(entry(message="second"))), table, "w-2")
+    assert [r[4] for r in stored(spark, table)] == ["first"]
+
+
+def test_two_writers_never_share_an_id(spark, table, batches):
+    first = reserve(spark, table, "a-0", "x", 10_000)
+    second = reserve(spark, table, "b-0", "y", 5_000)
+    assert (first, second, reserve(spark, table, "a-0", "x", 10_000)) == (1, 10_001, 1)
+
+
+def test_an_abandoned_batch_stays_invisible(spark, table, batches):
+    ingest(batches(envelope(entry(message="good"))), table, "w-0")
+    reserve(spark, table, "w-1", "x", 5_000)
+    write_logs(read_logs(spark, table), table, batch_folder("w-1"))
+    ingest(batches(envelope(entry(message="later"))), table, "w-2")
+    assert sorted(r[4] for r in stored(spark, table)) == ["good", "later"]
+
+
+def test_a_request_without_clock_is_refused(spark, table, batches):
+    bodies = envelope(entry(timestamp="1999-01-01T00:00:00Z"), entry(timestamp="2999-01-01T00:00:00Z"))
+    ingest(batches(bodies, received_at=None), table, "w-0")
+    assert stored(spark, table) == []
+    (ack,) = read_acknowledgements(spark, table).collect()
+    assert (ack["status"], ack["error"]) == (400, "request has no receipt time")
+
+
+def test_state_stays_small_and_the_scan_has_no_join(spark, table, batches, tmp_path):
+    for n in range(6):
+        ingest(batches(envelope(entry(message=f"m{n}"))), table, f"w-{n}")
+    assert len([p for p in (tmp_path / "table" / "state").iterdir() if p.name.isdigit()]) == 3
+    plan = read_logs(spark, table)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert "startswith(ingest_batch" in plan.lower().split("partitionfilters", 1)[1].split("pushedfilters")[0]
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
+def test_other_session_zones_read_the_same(spark, table, batches, zone):
+    texts = ["2026-08-10T02:30:00.007Z", "2026-08-09T23:59:59.999Z"]
+    ingest(batches(envelope(*[entry(timestamp=t) for t in texts])), table, "w-0")
+    ranged = {"since": "2026-08-09T00:00:00Z", "until": "2026-08-11T00:00:00Z", "bucket": "1d"}
+
+    def read():
+        logs = read_logs(spark, table)
+        return (
+            [r["timestamp"] for r in fetch_page(logs, {}, log_days(spark, table)).logs],
+            [(r["start"].astimezone().timestamp(), r["count"]) for r in count_by_bucket(logs, ranged).collect()],
+            [str(r["event_date"]) for r in logs.orderBy("id").collect()],
+            page_index(logs, parse_filter({}), 1).count(),
+        )
+
+    expected = read()
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert read() == expected
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert expected[0] == texts
+
+
+def test_a_new_start_of_a_stream_keeps_earlier_rows(spark, tmp_path, table, batches):
+    for n in range(2):
+        raw = str(tmp_path / f"raw{n}")
+        batches(envelope(entry(message=f"run {n}")), prefix=f"r{n}-").write.parquet(raw)
+        source = read_batch_table(spark, raw, stream=True)
+        start_ingest(source, table, str(tmp_path / f"progress{n}"), drain=True).awaitTermination()
+    assert [(r[0], r[4]) for r in stored(spark, table)] == [(1, "run 0"), (5_001, "run 1")]
+    assert read_acknowledgements(spark, table).count() == 2
 
 
 def test_same_entry_twice_is_two_rows(spark, table, batches):
@@ -98,7 +184,7 @@ def test_replay_writes_the_same_rows(spark, table, batches):
 
 def test_uncommitted_rows_are_invisible(spark, table, batches):
     ingest(batches(envelope(entry())), table, "w-0")
-    write_logs(read_logs(spark, table), table, "w-1")
+    write_logs(read_logs(spark, table), table, batch_folder("w-1"))
     assert len(stored(spark, table)) == 1
     commit(spark, table, "w-1")
     assert len(stored(spark, table)) == 2
