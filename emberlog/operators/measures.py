@@ -35,8 +35,9 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     """``(pooled, shape, requests, count, min, mean, p50, p90, p95, p99, max,
     errors)`` per shape and over all shapes; no responses give count 0 and nulls.
     """
+    # A missing shape is a shape of its own, apart from an empty one.
     timed = samples.select(
-        F.coalesce("shape", F.lit("")).alias("shape"),
+        F.coalesce(F.concat(F.lit("="), "shape"), F.lit("")).alias("shape"),
         F.when(_responded(), F.col("elapsed_ms")).alias("latency"),
         (~F.col("network_ok") | (F.col("status") != OK)).alias("error"),
     )
@@ -62,7 +63,7 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     ranked = exact_percentiles(scoped, "latency", PERCENTS, ["pooled", "shape"])
     return figures.join(ranked, ["pooled", "shape"], "left").select(
         "pooled",
-        F.when(~F.col("pooled"), F.col("shape")).alias("shape"),
+        F.when(~F.col("pooled") & (F.col("shape") != ""), F.substring("shape", 2, 1 << 30)).alias("shape"),
         "requests", "count", "min", "mean", *PERCENTS, "max", "errors",
     )
 

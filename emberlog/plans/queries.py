@@ -17,7 +17,8 @@ from emberlog.operators.acknowledge import acknowledge
 from emberlog.operators.buckets import busiest_service, count_by_bucket, totals_by_width
 from emberlog.operators.discovery import describe_rows, discover
 from emberlog.operators.ingest import ingest
-from emberlog.operators.listing import list_page, newest_row, output_columns
+from emberlog.operators.listing import fetch_page, list_page, newest_row, output_columns
+from emberlog.operators.maintenance import compact_day, purge_replaced, run_maintenance
 from emberlog.operators.pages import page_index
 from emberlog.operators.validation import judge_batches, rejected_entries
 from emberlog.plans import views
@@ -25,6 +26,7 @@ from emberlog.session import configure, scratch_dir
 from emberlog.sources.batches import read_batch_table
 from emberlog.sources.log_table import (
     LogTable,
+    log_days,
     read_acknowledgements,
     read_logs,
     read_rejected,
@@ -147,20 +149,21 @@ def bucket_filtered(spark, sf_dir):
     )
 
 
-DOCUMENT_RANGE = {"since": "2024-01-01T00:00:00Z", "until": "2030-01-01T00:00:00Z"}
-
-
 @query(bucket_sql(DOCUMENT_LOGS, "message ILIKE '%THE%'", "1 hour", "2024-01-01", "service"))
 def bucket_substring(spark, sf_dir):
-    arguments = {"bucket": "1h", "group_by": "service", "q": "THE", **DOCUMENT_RANGE}
-    return bucket_rows(count_by_bucket(views.document_logs(spark, sf_dir), arguments))
+    logs = views.document_logs(spark, sf_dir)
+    arguments = {
+        "bucket": "1h", "group_by": "service", "q": "THE",
+        "since": "2024-01-01T00:00:00Z", "until": views.document_end(spark, sf_dir),
+    }
+    return bucket_rows(count_by_bucket(logs, arguments))
 
 
 @query("""
 WITH logs AS (SELECT l_shipdate AS t, l_linenumber % 4 AS lv FROM lineitem)
 SELECT strftime(time_bucket(INTERVAL '24 hours', t, TIMESTAMP '1995-01-01'), {iso}) AS start,
        {level} AS "group", count(*) AS count
-FROM logs GROUP BY 1, 2
+FROM logs WHERE t >= TIMESTAMP '1995-01-01' AND t < TIMESTAMP '2002-01-01' GROUP BY 1, 2
 """.format(iso=ISO, level=LEVEL))
 def bucket_shipments(spark, sf_dir):
     arguments = {
@@ -402,10 +405,18 @@ def described_rows(spark, sf_dir):
 
 
 @query(f"""
-WITH {EVENT_LOGS}
-SELECT id, strftime(t, {ISO}) AS "end", service, 'k' AS attr_key, k AS attr_value,
+WITH {EVENT_LOGS},
+newest AS (SELECT * FROM logs ORDER BY t DESC, id DESC LIMIT 1),
+busy AS (SELECT logs.service, count(*) AS rows FROM logs, newest
+         WHERE logs.t >= newest.t - INTERVAL 24 HOURS AND logs.t < newest.t + INTERVAL 1 SECOND
+         GROUP BY 1
+         ORDER BY 2 DESC,
+                  min(time_bucket(INTERVAL '24 hours', logs.t, newest.t - INTERVAL 24 HOURS)), 1
+         LIMIT 1)
+SELECT strftime(t, {ISO}) AS "end", (SELECT service FROM busy) AS service,
+       'k' AS attr_key, k AS attr_value,
        CASE WHEN length(service) >= 4 THEN service ELSE 'user' END AS word
-FROM logs ORDER BY t DESC, id DESC LIMIT 1
+FROM newest
 """)
 def discovered(spark, sf_dir):
     return discover(views.event_logs(spark, sf_dir))
@@ -587,6 +598,172 @@ def stored_rows(spark, sf_dir):
     return shown(rows.select(*output_columns(), F.col("event_date").cast("string")))
 
 
+# The stored table of a data folder is ingested once per session and then shared.
+_ingested: dict[tuple[str, str], LogTable] = {}
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> LogTable:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ingested:
+        configure(spark)
+        target = LogTable(scratch_dir(spark, "ingested"))
+        ingest(views.event_batches(spark, sf_dir), target, "load-0")
+        _ingested[key] = target
+    return _ingested[key]
+
+
+STORED = f"""{ENTRIES},
+stored AS (SELECT 1 + place * 5000 + idx AS id, moment AS t, lv, service,
+                  service || ' by user ' || u AS message, attrs
+           FROM judged WHERE reason IS NULL)"""
+
+
+@query(f"""
+WITH {STORED}
+SELECT strftime(time_bucket(INTERVAL '1 hour', t, TIMESTAMP '2024-01-10'), {ISO}) AS start,
+       {LEVEL} AS "group", count(*) AS count
+FROM stored WHERE t >= TIMESTAMP '2024-01-10' AND t < TIMESTAMP '2024-01-20' GROUP BY 1, 2
+""")
+def stored_bucket_by_level(spark, sf_dir):
+    arguments = {"since": "2024-01-10T00:00:00Z", "until": "2024-01-20T00:00:00Z",
+                 "bucket": "1h", "group_by": "level"}
+    return bucket_rows(count_by_bucket(read_logs(spark, ingested(spark, sf_dir)), arguments))
+
+
+def placed(page) -> list[tuple]:
+    """Rows of a fetched page with their place, so that their order is compared."""
+    return [
+        (place, r["id"], r["timestamp"], r["level"], r["service"], r["message"])
+        for place, r in enumerate(page.logs)
+    ]
+
+
+PLACED = "place long, id string, timestamp string, level string, service string, message string"
+
+
+def stored_page_sql(where: str, limit: int) -> str:
+    return f"""
+WITH {STORED}
+SELECT row_number() OVER (ORDER BY t DESC, id DESC) - 1 AS place, CAST(id AS VARCHAR) AS id,
+       strftime(t, {ISO}) AS "timestamp", {LEVEL} AS level, service, message
+FROM stored WHERE {where} ORDER BY t DESC, stored.id DESC LIMIT {limit}
+"""
+
+
+@query(stored_page_sql(
+    "t >= TIMESTAMP '2024-01-05' AND (t, id) < (TIMESTAMP '2024-01-18 06:00:00', 700)", 200
+))
+def stored_page(spark, sf_dir):
+    cursor = token_of(text_millis("2024-01-18T06:00:00Z"), 700)
+    arguments = {"since": "2024-01-05T00:00:00Z", "cursor": cursor, "limit": "200"}
+    page = fetch_page(read_logs(spark, ingested(spark, sf_dir)), arguments)
+    return spark.createDataFrame(placed(page), PLACED)
+
+
+@query(stored_page_sql("service = 'click'", 50))
+def stored_page_newest_days(spark, sf_dir):
+    """Stops at the newest days that fill the page."""
+    table = ingested(spark, sf_dir)
+    page = fetch_page(
+        read_logs(spark, table), {"service": "click", "limit": "50"}, log_days(spark, table)
+    )
+    return spark.createDataFrame(placed(page), PLACED)
+
+
+def day_counts(spark: SparkSession, table: LogTable) -> DataFrame:
+    rows = read_logs(spark, table)
+    return rows.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count("*").alias("rows"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+
+
+DAY_COUNTS = (
+    "SELECT strftime(t, '%Y-%m-%d') AS event_date, count(*) AS rows, min(id) AS first_id, "
+    "max(id) AS last_id FROM stored"
+)
+
+
+@query(f"WITH {STORED} {DAY_COUNTS} WHERE t >= TIMESTAMP '2024-01-11' GROUP BY 1")
+def kept_after_retention(spark, sf_dir):
+    """Ten days after the requests: day 30 stays, day 31 is dropped whole."""
+    configure(spark)
+    table = LogTable(scratch_dir(spark, "kept"))
+    ingest(views.event_batches(spark, sf_dir), table, "load-0")
+    run_maintenance(spark, table, date(2024, 2, 10))
+    return day_counts(spark, table)
+
+
+@query(f"WITH {STORED} {DAY_COUNTS} GROUP BY 1")
+def compacted_rows(spark, sf_dir):
+    """The table after its days were rewritten as one folder each and purged."""
+    table = streamed(spark, sf_dir)
+    for day in log_days(spark, table)[:3]:
+        compact_day(spark, table, day)
+    purge_replaced(spark, table)
+    rows = read_logs(spark, table)
+    loaded = read_logs(spark, ingested(spark, sf_dir)).select("timestamp", "message", "id")
+    # Ids of a stream follow its micro-batches; times and messages tell the rows.
+    assert rows.select("id").distinct().count() == rows.count()
+    counts = rows.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count("*").alias("rows")
+    )
+    ids = loaded.groupBy(iso_text(F.col("timestamp")).substr(1, 10).alias("event_date")).agg(
+        F.min("id").alias("first_id"), F.max("id").alias("last_id")
+    )
+    return counts.join(ids, "event_date")
+
+
+@query(f"WITH {ENTRIES} SELECT strftime(moment, '%Y-%m-%d') AS event_date, count(*) AS rows, "
+       "count(*) AS ids FROM judged WHERE reason IS NULL GROUP BY 1")
+def restarted_rows(spark, sf_dir):
+    """Half of the requests from one stream, the rest from one that starts anew."""
+    configure(spark)
+    root = scratch_dir(spark, "restarted")
+    raw, table = views.event_batches(spark, sf_dir), LogTable(f"{root}/table")
+    for half in (0, 1):
+        mine = raw.filter(F.pmod(F.crc32(F.col("batch_id").cast("binary")), F.lit(2)) == half)
+        mine.write.parquet(f"{root}/raw{half}")
+        source = read_batch_table(spark, f"{root}/raw{half}", stream=True)
+        start_ingest(source, table, f"{root}/progress{half}", drain=True).awaitTermination()
+    rows = read_logs(spark, table)
+    return rows.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
+        F.count("*").alias("rows"), F.count_distinct("id").alias("ids")
+    )
+
+
+@query(f"""
+WITH {ENTRIES},
+probes AS (SELECT place, count(*) FILTER (WHERE reason IS NULL) AS accepted FROM judged GROUP BY 1)
+SELECT count(*) AS probes, true AS measured FROM probes WHERE accepted > 0
+""")
+def answered_freshness(spark, sf_dir):
+    """Requests with accepted entries, and that each was answered after it came."""
+    answers = read_acknowledgements(spark, ingested(spark, sf_dir)).filter("accepted > 0")
+    return answers.agg(
+        F.count("*").alias("probes"),
+        F.coalesce(F.bool_and(F.col("committed_at") > F.col("received_at")), F.lit(True)).alias("measured"),
+    )
+
+
+@query("SELECT count(*) AS requests, 0 AS rows, 0 AS days, count(*) AS refused FROM "
+       "(SELECT DISTINCT event_id // 100 FROM events)")
+def nothing_accepted(spark, sf_dir):
+    """Requests that are all too old: answers, but no row and no day folder."""
+    configure(spark)
+    table = LogTable(scratch_dir(spark, "refused"))
+    late = views.event_batches(spark, sf_dir).withColumn(
+        "received_at", F.col("received_at") + F.expr("INTERVAL 1000 DAYS")
+    )
+    requests = ingest(late, table, "load-0")
+    answers = read_acknowledgements(spark, table).agg(F.count_if(F.col("accepted") == 0).alias("refused"))
+    return answers.select(
+        F.lit(requests).cast("bigint").alias("requests"),
+        F.lit(read_logs(spark, table).count()).cast("bigint").alias("rows"),
+        F.lit(len(log_days(spark, table))).cast("bigint").alias("days"),
+        "refused",
+    )
+
+
 def streamed(spark: SparkSession, sf_dir: str) -> LogTable:
     """The table after a streaming ingest in several micro-batches, drained."""
     configure(spark)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberlog.arguments import parse_filter
 from emberlog.functions.levels import decode_level
-from emberlog.functions.times import iso_text, millis_literal, text_millis
+from emberlog.functions.times import iso_text, millis_literal, millis_text, text_millis
 from emberlog.operators.validation import FIELDS
 from emberlog.session import configure
 
@@ -69,6 +69,12 @@ def document_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_end(spark: SparkSession, sf_dir: str) -> str:
+    """A time just after the last document."""
+    last = table(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
+    return millis_text(text_millis("2024-01-01T00:00:00Z") + last * 37_000 + 1)
+
+
 def shipment_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as logs in bulk, by day of shipment."""
     return table(spark, sf_dir, "lineitem").select(

@@ -9,15 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from emberlog.functions.times import iso_text
 from emberlog.schema import DAY_MS, LEVELS, MAX_BATCH_ENTRIES
 
-# What a generated entry is drawn from.
-SERVICES = (
-    "checkout", "auth", "api", "payments", "search", "cart", "inventory", "notifications",
-)
-REGIONS = ("us-east", "us-west", "eu-west", "eu-central", "ap-south")
+# What a generated entry is drawn from: eight services, five regions, ten messages.
+SERVICES = ("ferry", "lantern", "mill", "orchard", "quarry", "sawyer", "tannery", "weaver")
+REGIONS = ("delta", "fjord", "mesa", "steppe", "tundra")
 MESSAGES = (
-    "request completed", "payment declined", "user login succeeded", "cache miss",
-    "database timeout", "rate limited", "validation failed", "connection reset",
-    "order placed", "token refreshed",
+    "shift began", "shift ended", "belt slipped", "stock is low", "gauge out of range",
+    "pump restarted", "crate weighed", "door left open", "order was split", "lamp replaced",
 )
 USERS = 100_000
 RETRIES = 5

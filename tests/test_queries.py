@@ -1,4 +1,4 @@
-"""Listing, pages and counts on the 12-entry series and on tied times."""
+"""Listing, pages and counts on a short series and on tied times."""
 
 import base64
 from datetime import date, datetime, timedelta
@@ -16,8 +16,9 @@ from emberlog.operators.pages import page_index
 from emberlog.schema import STORED_LOG
 from pyspark.sql import functions as F
 
-START = datetime(2026, 8, 11, 9, 0)
-SINCE, UNTIL = "2026-08-11T09:00:00Z", "2026-08-11T10:00:00Z"
+START = datetime(2026, 5, 3, 14, 0)
+SINCE, UNTIL = "2026-05-03T14:00:00Z", "2026-05-03T15:00:00Z"
+TONES = ("Low hum", "high RATTLE", "steady tick")
 
 
 def row(id_, time, level=1, service="svc", message="m", **attributes):
@@ -26,13 +27,13 @@ def row(id_, time, level=1, service="svc", message="m", **attributes):
 
 @pytest.fixture(scope="module")
 def series(spark):
+    """Fifteen rows of one mill two minutes apart, every fourth a warning, and one of a quay."""
     rows = [
-        row(i + 1, START + timedelta(minutes=i), 3 if i % 3 == 0 else 1, "svc",
-            f"alpha entry {i}" if i % 2 == 0 else f"BETA entry {i}",
-            region="eu-west" if i % 2 == 0 else "us-east", seq=str(i))
-        for i in range(12)
+        row(i + 1, START + timedelta(minutes=2 * i), 2 if i % 4 == 1 else 0, "mill",
+            f"{TONES[i % 3]} at gear {i}", line=f"L{i % 5}", turn=str(100 + i))
+        for i in range(15)
     ]
-    rows.append(row(13, START, 1, "decoy", "alpha decoy", region="eu-west"))
+    rows.append(row(16, START, 0, "quay", "Low hum at the crane", line="L0"))
     return spark.createDataFrame(rows, STORED_LOG)
 
 
@@ -41,34 +42,35 @@ def ids(page):
 
 
 @pytest.mark.parametrize("arguments, found", [
-    ({}, 12), ({"level": "error"}, 4), ({"level": "info"}, 8), ({"attr.seq": "5"}, 1),
-    ({"attr.region": "eu-west"}, 6), ({"attr.region": "eu-west", "attr.seq": "5"}, 0),
-    ({"attr.absent": ""}, 0), ({"q": "beta"}, 6), ({"q": "BETA"}, 6), ({"q": "%"}, 0),
-    ({"q": "_"}, 0), ({"q": "\\"}, 0), ({"q": "a entry 1"}, 3),
-    ({"since": "2026-08-11T09:03:00Z"}, 9), ({"until": "2026-08-11T09:03:00Z"}, 3),
-    ({"since": "2026-08-11T09:03:00Z", "until": "2026-08-11T09:04:00Z"}, 1),
-    ({"service": "SVC"}, 0),
+    ({}, 15), ({"level": "warn"}, 4), ({"level": "debug"}, 11), ({"level": "error"}, 0),
+    ({"attr.turn": "107"}, 1), ({"attr.line": "L2"}, 3),
+    ({"attr.line": "L2", "attr.turn": "107"}, 1), ({"attr.line": "L1", "attr.turn": "107"}, 0),
+    ({"attr.missing": ""}, 0), ({"q": "low"}, 5), ({"q": "RATTLE"}, 5), ({"q": "rattle AT"}, 5),
+    ({"q": "%"}, 0), ({"q": "_"}, 0), ({"q": "\\"}, 0), ({"q": "gear 1"}, 6),
+    ({"since": "2026-05-03T14:10:00Z"}, 10), ({"until": "2026-05-03T14:10:00Z"}, 5),
+    ({"since": "2026-05-03T14:10:00Z", "until": "2026-05-03T14:13:00Z"}, 2),
+    ({"service": "MILL"}, 0),
 ])
 def test_filters_agree_between_list_and_count(series, arguments, found):
-    arguments = {"service": "svc", **arguments}
+    arguments = {"service": "mill", **arguments}
     assert len(fetch_page(series, arguments).logs) == found
     ranged = {"since": SINCE, "until": UNTIL, "bucket": "5m", **arguments}
     assert sum(r["count"] for r in count_by_bucket(series, ranged).collect()) == found
 
 
 def test_output_form(series):
-    (shown,) = fetch_page(series, {"service": "svc", "limit": "1"}).logs
+    (shown,) = fetch_page(series, {"service": "mill", "limit": "1"}).logs
     assert shown.asDict() == {
-        "id": "12", "timestamp": "2026-08-11T09:11:00.000Z", "level": "info", "service": "svc",
-        "message": "BETA entry 11", "attributes": {"region": "us-east", "seq": "11"},
+        "id": "15", "timestamp": "2026-05-03T14:28:00.000Z", "level": "debug", "service": "mill",
+        "message": "steady tick at gear 14", "attributes": {"line": "L4", "turn": "114"},
     }
 
 
-def test_pages_of_five(series):
+def test_pages_of_four(series):
     sizes, seen, cursor = [], [], None
     while True:
-        arguments = {"service": "svc", "limit": "5", **({"cursor": cursor} if cursor else {})}
-        page = fetch_page(series, arguments, days=[date(2026, 8, 10), date(2026, 8, 11)])
+        arguments = {"service": "mill", "limit": "4", **({"cursor": cursor} if cursor else {})}
+        page = fetch_page(series, arguments, days=[date(2026, 5, 2), date(2026, 5, 3)])
         frame = list_page(series, arguments).collect()
         assert [r["id"] for r in frame] == [r["id"] for r in page.logs]
         assert {r["next_cursor"] for r in frame} == {page.next_cursor}
@@ -77,43 +79,43 @@ def test_pages_of_five(series):
         cursor = page.next_cursor
         if cursor is None:
             break
-    assert sizes == [5, 5, 2] and seen == list(range(12, 0, -1))
+    assert sizes == [4, 4, 4, 3] and seen == list(range(15, 0, -1))
 
 
 def test_last_full_page_has_no_cursor(series):
-    assert fetch_page(series, {"service": "svc", "limit": "12"}).next_cursor is None
-    assert {r["next_cursor"] for r in list_page(series, {"service": "svc", "limit": "12"}).collect()
+    assert fetch_page(series, {"service": "mill", "limit": "15"}).next_cursor is None
+    assert {r["next_cursor"] for r in list_page(series, {"service": "mill", "limit": "15"}).collect()
             } == {None}
     assert list_page(series, {"service": "none"}).collect() == []
 
 
-@pytest.mark.parametrize("bucket, buckets", [("1m", 12), ("5m", 3), ("1h", 1), ("1d", 1)])
+@pytest.mark.parametrize("bucket, buckets", [("1m", 15), ("5m", 6), ("1h", 1), ("1d", 1)])
 def test_totals_at_every_width(series, bucket, buckets):
-    arguments = {"service": "svc", "since": SINCE, "until": UNTIL, "bucket": bucket}
+    arguments = {"service": "mill", "since": SINCE, "until": UNTIL, "bucket": bucket}
     rows = count_by_bucket(series, arguments).collect()
-    assert len(rows) == buckets and sum(r["count"] for r in rows) == 12
+    assert len(rows) == buckets and sum(r["count"] for r in rows) == 15
     assert {r["group"] for r in rows} == {None}
 
 
 def test_totals_by_width(series):
-    wanted = parse_filter({"service": "svc", "since": SINCE})
+    wanted = parse_filter({"service": "mill", "since": SINCE})
     rows = {r["width"]: (r["buckets"], r["total"]) for r in
             totals_by_width(series, wanted).collect()}
-    assert rows == {"1m": (12, 12), "5m": (3, 12), "1h": (1, 12), "1d": (1, 12)}
+    assert rows == {"1m": (15, 15), "5m": (6, 15), "1h": (1, 15), "1d": (1, 15)}
 
 
 def test_first_bucket_starts_at_since(series):
-    arguments = {"since": "2026-08-11T08:59:30.500Z", "until": UNTIL, "bucket": "5m"}
+    arguments = {"since": "2026-05-03T13:59:30.500Z", "until": UNTIL, "bucket": "5m"}
     first = count_by_bucket(series, arguments).first()
-    assert first["start"] == datetime(2026, 8, 11, 8, 59, 30, 500_000)
+    assert first["start"] == datetime(2026, 5, 3, 13, 59, 30, 500_000)
 
 
 def test_groups_sort_by_severity(series):
     arguments = {"since": SINCE, "until": UNTIL, "bucket": "1h", "group_by": "level"}
     rows = count_by_bucket(series, arguments).collect()
-    assert [(r["group"], r["count"]) for r in rows] == [("info", 9), ("error", 4)]
+    assert [(r["group"], r["count"]) for r in rows] == [("debug", 12), ("warn", 4)]
     by_service = count_by_bucket(series, {**arguments, "group_by": "service"}).collect()
-    assert [(r["group"], r["count"]) for r in by_service] == [("decoy", 1), ("svc", 12)]
+    assert [(r["group"], r["count"]) for r in by_service] == [("mill", 15), ("quay", 1)]
 
 
 def test_count_needs_a_range(series):
@@ -171,14 +173,14 @@ def test_cursor_columns(tied):
 
 
 @pytest.mark.parametrize("payload, valid", [
-    ('{"v":1,"ts":"2026-08-11T11:59:00.007Z","id":"9223372036854775807"}', True),
-    ('{"v":2,"ts":"2026-08-11T11:59:00.007Z","id":"1"}', False),
-    ('{"v":"1","ts":"2026-08-11T11:59:00.007Z","id":"1"}', False),
+    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"9223372036854775807"}', True),
+    ('{"v":2,"ts":"2026-03-09T04:17:22.081Z","id":"1"}', False),
+    ('{"v":"1","ts":"2026-03-09T04:17:22.081Z","id":"1"}', False),
     ('{"v":1,"ts":"never","id":"1"}', False),
-    ('{"v":1,"ts":"2026-08-11T11:59:00.007Z","id":1}', False),
-    ('{"v":1,"ts":"2026-08-11T11:59:00.007Z","id":"-1"}', False),
-    ('{"v":1,"ts":"2026-08-11T11:59:00.007Z","id":"12345678901234567890"}', False),
-    ('{"v":1,"ts":"2026-08-11T11:59:00.007Z","id":"1"}],[', False),
+    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":1}', False),
+    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"-1"}', False),
+    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"12345678901234567890"}', False),
+    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"1"}],[', False),
     ("[]", False), ("null", False), ("", False),
 ])
 def test_cursor_column_rules(spark, payload, valid):
@@ -192,7 +194,7 @@ def test_busiest_service_ties(spark):
             row(3, START - timedelta(hours=30), service="z"),
             row(4, START + timedelta(seconds=1), service="z")]
     logs = spark.createDataFrame(rows, STORED_LOG)
-    end = text_millis("2026-08-11T09:00:00Z")
+    end = text_millis("2026-05-03T14:00:00Z")
     assert busiest_service(logs, end, 24).first()["service"] == "a"
     assert busiest_service(logs, end, 48).first()["service"] == "z"
     assert busiest_service(logs, end + 1, 48).first()["count"] == 2
@@ -203,7 +205,22 @@ def test_discover(spark):
             row(2, START, message="a  of (long!) word", zz="1", b="2", aa="3")]
     found = discover(spark.createDataFrame(rows, STORED_LOG)).first()
     assert (found["attr_key"], found["attr_value"], found["word"]) == ("b", "2", "long")
-    assert found["end"] == "2026-08-11T09:00:00.000Z"
+    assert found["end"] == "2026-05-03T14:00:00.000Z"
+
+
+def test_discover_names_the_busiest_service_of_the_window(spark):
+    rows = [row(1, START, service="once"), row(2, START - timedelta(hours=1), service="often"),
+            row(3, START - timedelta(hours=2), service="often"),
+            *[row(4 + i, START - timedelta(hours=40), service="before") for i in range(5)]]
+    logs = spark.createDataFrame(rows, STORED_LOG)
+    assert discover(logs).first()["service"] == "often"
+    assert discover(logs, 48).first()["service"] == "before"
+    early = discover(logs, 24, until="2026-05-02T00:00:00Z").first()
+    assert (early["service"], early["end"]) == ("before", "2026-05-02T00:00:00.000Z")
+    assert discover(logs, 24, until="2020-01-01T00:00:00Z").first() is None
+    assert discover(logs.limit(0)).first() is None
+    with pytest.raises(ValueError, match="invalid until"):
+        discover(logs, until="soon")
 
 
 def test_short_rest_of_a_word_is_nothing(spark):
@@ -215,14 +232,14 @@ def test_day_and_row_filters_reach_the_scan(spark, series, tmp_path):
     path = str(tmp_path / "logs")
     series.write.partitionBy("event_date").parquet(path)
     logs = spark.read.schema(STORED_LOG).parquet(path)
-    wanted = parse_filter({"since": SINCE, "until": UNTIL, "service": "svc", "level": "error"})
+    wanted = parse_filter({"since": SINCE, "until": UNTIL, "service": "mill", "level": "error"})
     rows = filter_logs(logs, wanted).filter(after_cursor(logs, (text_millis(SINCE), 5)))
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = rows.select("id")._jdf.queryExecution().executedPlan().toString()
     partition = plan[plan.index("PartitionFilters"):plan.index("PushedFilters")]
     pushed = plan[plan.index("PushedFilters"):]
     assert "event_date" in partition
-    for part in ("GreaterThanOrEqual(timestamp", "LessThan(timestamp", "EqualTo(service,svc)",
+    for part in ("GreaterThanOrEqual(timestamp", "LessThan(timestamp", "EqualTo(service,mill)",
                  "EqualTo(level,3)", "Or(LessThan(timestamp", "LessThan(id,5)"):
         assert part in pushed
     assert "message" not in plan[plan.index("ReadSchema"):]
