@@ -129,11 +129,11 @@ def accepted(batches):
 def test_accepted_form(accepted):
     (row,) = accepted(envelope(entry(
         timestamp="2026-08-11T13:59:00.1239+02:00",
-        attributes={"user_id": "42", "region": "eu-west", "retries": 3},
+        attributes={"crate": "17b", "line": "L4", "tries": 6},
     )))
     assert row["timestamp"].isoformat() == "2026-08-11T11:59:00.123000"
-    assert (row["level"], row["service"], row["message"]) == (3, "checkout", "payment declined")
-    assert row["attributes"] == {"user_id": "42", "region": "eu-west", "retries": "3"}
+    assert (row["level"], row["service"], row["message"]) == (3, "mill", "belt slipped twice")
+    assert row["attributes"] == {"crate": "17b", "line": "L4", "tries": "6"}
 
 
 def test_missing_attributes_become_an_empty_map(accepted):
