@@ -112,8 +112,8 @@ def repeated_lines(words: Words) -> np.ndarray:
     """Lines with a word that equal an earlier line of the text."""
     breaks = np.flatnonzero(words.data == 0x0A)
     edges = words.edges
-    starts = np.sort(np.concatenate([edges[:-1], breaks + 1]), kind="stable")
-    # A text that begins after the break of an earlier one has its own start there.
+    starts = np.unique(np.concatenate([edges[:-1], breaks + 1]))
+    # Where one text ends with a break the next one may begin, at the same place.
     doc = np.searchsorted(edges, starts, side="right") - 1
     stop = np.minimum(np.searchsorted(breaks, starts), max(len(breaks) - 1, 0))
     ends = np.where(
