@@ -12,7 +12,7 @@ from emberlog.llm.words import U64, mix
 from emberlog.session import scratch_dir
 
 # One part of a bit set or counter table that is merged by one task at a time.
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 
 
 # Rows and bytes that Spark hands to a Python task at once, which bounds its memory.
