@@ -25,16 +25,22 @@ def slice_of(request: str = "request") -> Column:
     return F.shiftright(request, ROW_BITS)
 
 
-def slice_starts(requests: DataFrame) -> DataFrame:
-    """``(slice, start, requests, fingerprint)``, one row per slice: how many
-    requests come before it, how many it has, and what they are."""
-    sizes = requests.groupBy(slice_of().alias("slice")).agg(
-        F.count("*").alias("requests"), F.bit_xor("fingerprint").alias("fingerprint")
+def slice_starts(verdicts: DataFrame) -> DataFrame:
+    """``(slice, start, requests, fingerprint, accepted, rejected)``, one row per
+    slice: how many requests come before it, how many it has, what they are, and
+    what became of their entries. Every request has one row without an index or
+    with the first."""
+    first = F.col("index").isNull() | (F.col("index") == 0)
+    sizes = verdicts.groupBy(slice_of().alias("slice")).agg(
+        F.count_if(first).alias("requests"),
+        F.bit_xor(F.when(first, F.col("fingerprint"))).alias("fingerprint"),
+        F.count_if(F.col("index").isNotNull() & F.col("reason").isNull()).alias("accepted"),
+        F.count_if(F.col("reason").isNotNull()).alias("rejected"),
     )
     before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(
         "slice", F.coalesce(F.sum("requests").over(before), F.lit(0)).alias("start"),
-        "requests", "fingerprint",
+        "requests", "fingerprint", "accepted", "rejected",
     )
 
 

@@ -40,20 +40,24 @@ def ingest(
     judged = judge_batches(in_arrival_order(batches), retention_days)
     judged.write.mode("overwrite").parquet(staging)
     verdicts = spark.read.schema(judged.schema).parquet(staging)
-    # Every request has one row without an index or with the first.
-    starts = slice_starts(verdicts.filter("index is null or index = 0")).collect()
+    starts = slice_starts(verdicts).collect()
     count = sum(row["requests"] for row in starts)
     if count:
         whole = 0
         for row in starts:
             whole ^= row["fingerprint"]
-        starts = spark.createDataFrame(starts, "slice long, start long, requests long, fingerprint long")
+        accepted, rejected = (sum(row[name] for row in starts) for name in ("accepted", "rejected"))
+        starts = spark.createDataFrame(
+            [(row["slice"], row["start"]) for row in starts], "slice long, start long"
+        )
         first_id = reserve(
             spark, table, ingest_batch, f"{count}:{whole & (1 << 64) - 1:016x}", count * MAX_BATCH_ENTRIES
         )
         if first_id is not None:
-            write_logs(assign_ids(accepted_entries(verdicts), starts, first_id), table, name)
-            write_rejected(rejected_entries(verdicts), table, name)
+            if accepted:
+                write_logs(assign_ids(accepted_entries(verdicts), starts, first_id), table, name)
+            if rejected:
+                write_rejected(rejected_entries(verdicts), table, name)
             commit(spark, table, ingest_batch)
         # A replay after the commit has only its answers to write again.
         write_acknowledgements(acknowledge(verdicts), table, name)

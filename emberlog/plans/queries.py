@@ -194,7 +194,8 @@ LIMIT 1
 """)
 def busiest(spark, sf_dir):
     end = text_millis("2024-01-30T00:00:00Z")
-    return busiest_service(views.event_logs(spark, sf_dir), end, 240)
+    window = {"since": "2024-01-20T00:00:00Z", "until": "2024-01-30T00:00:01Z"}
+    return busiest_service(views.event_logs(spark, sf_dir, window), end, 240)
 
 
 # ---------------------------------------------------------------------- listing
