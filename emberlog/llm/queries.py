@@ -104,4 +104,45 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sentence_pieces": op10_sentence_pieces,
 }
-ORACLES: dict[str, str] = {}
+# Words of a text, as the operators take them.
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLES: dict[str, str] = {
+    "op5_substring_dedup": f"""
+WITH texts AS (SELECT doc_id, {WORDS.format("coalesce(text, '')")} AS words FROM documents),
+windows AS (
+  SELECT doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 49), ' ')) AS edge
+  FROM texts, unnest(range(1, len(words) - 48)) AS places(pos)),
+sources AS (SELECT edge, min(doc_id) AS source FROM windows GROUP BY edge),
+gone AS (
+  SELECT DISTINCT doc_id, pos + step AS place
+  FROM windows JOIN sources USING (edge), range(50) AS steps(step) WHERE source < doc_id),
+lost AS (SELECT doc_id, list(place) AS places, count(*) AS n_removed FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(words[pos], ' ' ORDER BY pos) AS kept
+  FROM texts, unnest(range(1, len(words) + 1)) AS places(pos)
+  WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.doc_id = texts.doc_id AND place = pos)
+  GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)""",
+    "op8_jaccard_join": f"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+                               "'abcdefghijklmnopqrstuvwxyz')")} AS words FROM documents),
+members AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, pos, pos + 2), ' ') AS shingle
+  FROM texts, unnest(range(1, greatest(len(words) - 2, 1) + 1)) AS places(pos) WHERE len(words) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM members GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM members a JOIN members b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM met JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * shared >= 90 * (x.n + y.n - shared)),
+reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id
+FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id""",
+}

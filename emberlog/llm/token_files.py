@@ -23,6 +23,7 @@ A null doc_id comes first. Rows of one doc_id keep some order among themselves.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -37,9 +38,13 @@ from tokenizers import Tokenizer
 
 from emberlog.llm.words import pieces
 
-STORE = 200_000
+# Parts whose ids a worker keeps, about 200 bytes each.
+STORE = 800_000
+# Runs of letters that are encoded as one text.
+TOGETHER = 1000
 # Words, and words of letters apart from the marks behind them. The tokenizer never
 # joins anything across a blank, nor across the seam of a letter and such a mark.
+LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?])|[^\x20\x09-\x0D]+")
 
 
@@ -51,6 +56,30 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = dtype
         self.stored: dict[str, bytes] = {}
+        # Ids that end a run of letters, if the vocabulary marks them.
+        suffix = json.loads(definition)["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for name, i in vocabulary.items() if name.endswith(suffix)]] = True
+
+    def add(self, parts: list[str]) -> None:
+        """Store the ids of parts. Runs of letters are encoded many at once, blanks
+        between them, and parted where an id ends one; others one by one."""
+        runs = [p for p in parts if LETTERS.fullmatch(p)] if self.ends.any() else []
+        groups = [runs[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
+        coded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
+        for group, one in zip(groups, coded, strict=True):
+            ids = np.array(one.ids, self.dtype)
+            edges = np.append(0, np.flatnonzero(self.ends[ids]) + 1)
+            if len(edges) == len(group) + 1:
+                raw, places = ids.tobytes(), (edges * ids.itemsize).tolist()
+                self.stored.update(
+                    (part, raw[a:b]) for part, a, b in zip(group, places[:-1], places[1:], strict=True)
+                )
+        rest = [p for p in parts if p not in self.stored]
+        for part, one in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.stored[part] = np.array(one.ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [PARTS.findall(t) for t in texts]
@@ -59,8 +88,7 @@ class PartEncoder:
         if len(self.stored) + len(new) > STORE:
             self.stored.clear()
             new = list(wanted)
-        for part, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.stored[part] = np.array(coded.ids, self.dtype).tobytes()
+        self.add(new)
         return [b"".join(map(self.stored.__getitem__, p)) for p in parts]
 
 
