@@ -7,8 +7,8 @@ and a few measures (length, share of link text, stops, capitals). A bidirectiona
 LSTM in numpy reads the blocks of a page in order and gives each the probability
 of being main text, so a block is judged with the whole page in view.
 
-The labeller is trained on a bounded sample of the pages (``TRAINING_PAGES``, the
-smallest hashes of page_id). Sections of the sampled pages say which blocks are
+The labeller is trained on a bounded sample of the pages (``TRAINING_PAGES``, those
+with the smallest hashes of their html). Sections of the sampled pages say which blocks are
 main text; these blocks are also laid out anew in other markup, with menus,
 sidebars, notices, adverts, forms and reader comments made of other blocks, so
 that the labeller doesn't rest on the markup of one site.
@@ -379,9 +379,16 @@ def main_texts(pages: list[str], model: Labeller | None) -> list[str]:
 
 
 def training_sample(pages: DataFrame, most: int = TRAINING_PAGES) -> list[str]:
-    """The html of at most ``most`` pages, those with the smallest hashes of page_id."""
-    known = pages.where("html is not null and html <> ''").select("html", F.xxhash64("page_id").alias("order"))
-    return [r["html"] for r in known.orderBy("order", F.crc32(F.col("html").cast("binary"))).limit(most).collect()]
+    """The html of at most ``most`` different pages, those with the smallest hashes.
+
+    The hashes are found first, so that no task sends more than the pages taken.
+    """
+    known = pages.where("html is not null and html <> ''").select("html", F.xxhash64("html").alias("order"))
+    order = known.select("order").distinct().orderBy("order").limit(most).collect()
+    if not order:
+        return []
+    taken = known.where(F.col("order") <= order[-1]["order"]).groupBy("order").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(taken.collect())]
 
 
 def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:
