@@ -164,7 +164,8 @@ def find_copies(documents: DataFrame, benchmark: DataFrame, least: float = LEAST
         F.collect_list(F.struct("item_id", (F.col("low") - slack).alias("low"), (F.col("high") + slack).alias("high")))
         .alias("spans")
     )
-    texts = rows_named(docs, spans.select("doc_id").distinct()).join(wanted, "doc_id")
+    # These joins shuffle, so that no task runs two Python workers at once.
+    texts = rows_named(docs, spans.select("doc_id").distinct()).join(wanted.hint("merge"), "doc_id")
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -187,7 +188,7 @@ def find_copies(documents: DataFrame, benchmark: DataFrame, least: float = LEAST
                 )
 
     found = texts.mapInArrow(passages, "doc_id long, item_id long, first long, passage array<long>")
-    best = aligned(found.join(items, "item_id"), least)
+    best = aligned(found.join(items.hint("merge"), "item_id"), least)
     order = F.struct("similarity", -F.col("first_word"), -F.col("end_word"))
     return best.groupBy("doc_id", "item_id").agg(
         F.max_by(F.struct("similarity", "first_word", "end_word"), order).alias("best")

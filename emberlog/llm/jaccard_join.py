@@ -37,7 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.llm.shared import BitSet, blocks_of, components, gathered, merge_blocks, rows_named, stored
+from emberlog.llm.shared import BitSet, blocks_of, components, gathered, merge_blocks, stored
 from emberlog.llm.words import U64, Words, mix, ngrams, pieces, signed
 
 # Cells of the counters that put rare shingles first; a fixed size.
@@ -173,9 +173,10 @@ def may_link(percent: int):
 def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) with the sizes of their sets' intersection and union, counted on whole texts."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    bits = BitSet(ids)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches):
+        for piece in pieces(bits.named(batches)):
             found = sets(piece, n)
             edges = np.cumsum([0, *map(len, found)])
             flat = signed(np.concatenate([*found, np.zeros(0, U64)]))
@@ -184,9 +185,8 @@ def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame
                 names=["doc_id", "members"],
             )
 
-    texts = rows_named(docs, ids)
     wanted = (
-        texts.mapInArrow(members, "doc_id long, members array<long>")
+        docs.mapInArrow(members, "doc_id long, members array<long>")
         .join(ids, "doc_id", "left_semi")
         .dropDuplicates(["doc_id"])
     )

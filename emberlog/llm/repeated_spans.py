@@ -33,7 +33,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from emberlog.llm.shared import BitSet, stored
+from emberlog.llm.shared import BitSet, rows_named, stored
 from emberlog.llm.words import U64, Ranges, Words, pieces, signed
 
 WINDOW = 50
@@ -111,11 +111,6 @@ def opened(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
     listed = paths.groupBy("doc_id").agg(
         F.collect_list(F.struct("path_a", "path_b", "first", "edges")).alias("paths")
     )
-    bits = BitSet(ids)
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bits.passes(batch.column("doc_id").to_numpy(zero_copy_only=False))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
@@ -144,8 +139,8 @@ def opened(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
                 names=["edge_a", "edge_b", "path_a", "path_b", "at", "doc_id"],
             )
 
-    texts = docs.mapInArrow(named, docs.schema)
-    return texts.join(listed, "doc_id").select("doc_id", "text", "paths").mapInArrow(
+    # This join and the one below shuffle, so that no task runs two Python workers at once.
+    return rows_named(docs, ids).join(listed.hint("merge"), "doc_id").select("doc_id", "text", "paths").mapInArrow(
         run, "edge_a long, edge_b long, path_a long, path_b long, at long, doc_id long"
     )
 
@@ -208,23 +203,13 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = stored(repeats(documents, window), "spans")
     bits = BitSet(spans.select("doc_id"))
-
-    def chosen(touched: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("doc_id")
-                hit = bits.passes(ids.fill_null(0).to_numpy(zero_copy_only=False))
-                hit &= ids.is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(hit == touched))
-
-        return docs.mapInArrow(run, docs.schema)
+    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             rows = []
-            for text, runs in zip(
-                piece.column("text").to_pylist(), piece.column("runs").to_pylist(), strict=True
-            ):
+            listed = piece.column("runs").to_pylist() if "runs" in piece.schema.names else [None] * len(piece)
+            for text, runs in zip(piece.column("text").to_pylist(), listed, strict=True):
                 # Bytes split at the same blanks that part words.
                 words = (text or "").encode().split()
                 gone = marked(len(words), runs, window) if runs else np.zeros(len(words), bool)
@@ -237,9 +222,11 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
             )
 
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batch.filter(pa.array(~bits.of(batch.column("doc_id")))) for batch in batches)
+
     # Most texts have no span; only the others are shuffled to meet theirs.
-    untouched = chosen(False).select("doc_id", "text", F.lit(None).cast(spans.schema["runs"].dataType).alias("runs"))
-    touched = chosen(True).join(spans, "doc_id", "left").select("doc_id", "text", "runs")
-    return untouched.union(touched).mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+    touched = rows_named(docs, spans.select("doc_id")).join(spans.hint("merge"), "doc_id", "left")
+    return docs.mapInArrow(untouched, kind).union(
+        touched.select("doc_id", "text", "runs").mapInArrow(run, kind)
     )

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from emberlog.llm.words import pieces
 
 BLANK = "▁"
-STORE = 300_000
+STORE = 150_000
 # Beyond this many open boundaries settled pieces are looked for.
 WINDOW = 64
 UNIGRAM, MERGES = 1, 2

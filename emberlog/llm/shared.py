@@ -119,18 +119,20 @@ class BitSet:
         return (self.sent.value[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
 
 
+    def named(self, batches: Iterator[pa.RecordBatch], key: str = "doc_id") -> Iterator[pa.RecordBatch]:
+        """The rows whose key may be in the set."""
+        for batch in batches:
+            yield batch.filter(pa.array(self.of(batch.column(key))))
+
+    def of(self, keys: pa.Array) -> np.ndarray:
+        known = keys.is_valid().to_numpy(zero_copy_only=False)
+        return known & self.passes(keys.fill_null(0).to_numpy(zero_copy_only=False))
+
+
 def rows_named(frame: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     """The frame's rows whose key may be among the ids; an exact join must follow."""
     bits = BitSet(ids.select(F.col(key).cast("long")))
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = batch.column(key)
-            known = keys.is_valid().to_numpy(zero_copy_only=False)
-            values = keys.fill_null(0).to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(known & bits.passes(values)))
-
-    return frame.mapInArrow(keep, frame.schema)
+    return frame.mapInArrow(lambda batches: bits.named(batches, key), frame.schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
