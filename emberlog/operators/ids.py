@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from emberlog.operators.positions import ROW_BITS
 from emberlog.schema import MAX_BATCH_ENTRIES
@@ -25,23 +25,26 @@ def slice_of(request: str = "request") -> Column:
     return F.shiftright(request, ROW_BITS)
 
 
-def slice_starts(verdicts: DataFrame) -> DataFrame:
-    """``(slice, start, requests, fingerprint, accepted, rejected)``, one row per
-    slice: how many requests come before it, how many it has, what they are, and
-    what became of their entries. Every request has one row without an index or
-    with the first."""
+def slice_sizes(verdicts: DataFrame) -> DataFrame:
+    """``(slice, requests, fingerprint, accepted, rejected)``, one row per slice: how
+    many requests it has, what they are, and what became of their entries. Every
+    request has one row without an index or with the first."""
     first = F.col("index").isNull() | (F.col("index") == 0)
-    sizes = verdicts.groupBy(slice_of().alias("slice")).agg(
+    return verdicts.groupBy(slice_of().alias("slice")).agg(
         F.count_if(first).alias("requests"),
         F.bit_xor(F.when(first, F.col("fingerprint"))).alias("fingerprint"),
         F.count_if(F.col("index").isNotNull() & F.col("reason").isNull()).alias("accepted"),
         F.count_if(F.col("reason").isNotNull()).alias("rejected"),
     )
-    before = Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    return sizes.select(
-        "slice", F.coalesce(F.sum("requests").over(before), F.lit(0)).alias("start"),
-        "requests", "fingerprint", "accepted", "rejected",
-    )
+
+
+def slice_starts(sizes: list[Row]) -> list[tuple[int, int]]:
+    """Slices with the number of requests before each; there are as many as shuffle partitions."""
+    out, start = [], 0
+    for row in sorted(sizes, key=lambda row: row["slice"]):
+        out.append((row["slice"], start))
+        start += row["requests"]
+    return out
 
 
 def assign_ids(accepted: DataFrame, starts: DataFrame, first_id: int) -> DataFrame:

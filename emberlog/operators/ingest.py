@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from emberlog.operators.acknowledge import acknowledge
-from emberlog.operators.ids import assign_ids, in_arrival_order, slice_starts
+from emberlog.operators.ids import assign_ids, in_arrival_order, slice_sizes, slice_starts
 from emberlog.operators.validation import accepted_entries, judge_batches, rejected_entries
 from emberlog.schema import MAX_BATCH_ENTRIES, RETENTION_DAYS
 from emberlog.session import configure
@@ -40,16 +40,14 @@ def ingest(
     judged = judge_batches(in_arrival_order(batches), retention_days)
     judged.write.mode("overwrite").parquet(staging)
     verdicts = spark.read.schema(judged.schema).parquet(staging)
-    starts = slice_starts(verdicts).collect()
-    count = sum(row["requests"] for row in starts)
+    sizes = slice_sizes(verdicts).collect()
+    count = sum(row["requests"] for row in sizes)
     if count:
         whole = 0
-        for row in starts:
+        for row in sizes:
             whole ^= row["fingerprint"]
-        accepted, rejected = (sum(row[name] for row in starts) for name in ("accepted", "rejected"))
-        starts = spark.createDataFrame(
-            [(row["slice"], row["start"]) for row in starts], "slice long, start long"
-        )
+        accepted, rejected = (sum(row[name] for row in sizes) for name in ("accepted", "rejected"))
+        starts = spark.createDataFrame(slice_starts(sizes), "slice long, start long")
         first_id = reserve(
             spark, table, ingest_batch, f"{count}:{whole & (1 << 64) - 1:016x}", count * MAX_BATCH_ENTRIES
         )

@@ -65,7 +65,7 @@ def test_requests_number_by_arrival(spark, batches):
         batches(*["{}"] * 100, received_at=NOW - timedelta(hours=1), prefix="early")
     )
     placed = ids.in_arrival_order(raw.repartition(7)).selectExpr("*", "0 index", "null reason").cache()
-    starts = {r["slice"]: r["start"] for r in ids.slice_starts(placed).collect()}
+    starts = dict(ids.slice_starts(ids.slice_sizes(placed).collect()))
     ranks = {r["batch_id"]: starts[r["request"] >> 33] + (r["request"] & (1 << 33) - 1)
              for r in placed.collect()}
     assert sorted(ranks, key=ranks.get) == (
