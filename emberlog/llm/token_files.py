@@ -42,8 +42,9 @@ from emberlog.llm.words import pieces
 STORE = 800_000
 # Runs of letters that are encoded as one text.
 TOGETHER = 1000
-# Words, and words of letters apart from the marks behind them. The tokenizer never
-# joins anything across a blank, nor across the seam of a letter and such a mark.
+# Words, and words of letters apart from the marks behind them. A tokenizer that
+# marks word ends drops blanks and never joins anything across one, nor across the
+# seam of a letter and such a mark.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
 PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?])|[^\x20\x09-\x0D]+")
 
@@ -66,7 +67,7 @@ class PartEncoder:
     def add(self, parts: list[str]) -> None:
         """Store the ids of parts. Runs of letters are encoded many at once, blanks
         between them, and parted where an id ends one; others one by one."""
-        runs = [p for p in parts if LETTERS.fullmatch(p)] if self.ends.any() else []
+        runs = [p for p in parts if LETTERS.fullmatch(p)]
         groups = [runs[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
         coded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, one in zip(groups, coded, strict=True):
@@ -78,10 +79,16 @@ class PartEncoder:
                     (part, raw[a:b]) for part, a, b in zip(group, places[:-1], places[1:], strict=True)
                 )
         rest = [p for p in parts if p not in self.stored]
-        for part, one in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.stored[part] = np.array(one.ids, self.dtype).tobytes()
+        self.stored.update(zip(rest, self.whole(rest), strict=True))
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(one.ids, self.dtype).tobytes() for one in coded]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.ends.any():
+            # Nothing is known of where this vocabulary parts a text.
+            return self.whole(texts)
         parts = [PARTS.findall(t) for t in texts]
         wanted = set().union(*parts)
         new = [p for p in wanted if p not in self.stored]

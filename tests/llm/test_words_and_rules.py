@@ -183,6 +183,12 @@ def test_parts_of_the_tokenizer_join_to_whole_texts():
     listed = [t or "" for t in ODD] + ["".join(draw.choice(marks) for _ in range(draw.randint(1, 20))) for _ in range(2000)]
     got = [np.frombuffer(c, "<u2").tolist() for c in coder.encode(listed)]
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in listed]
+    # A vocabulary that keeps blanks takes texts whole.
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    coded = token_files.PartEncoder(other.to_str(), "<u2").encode(listed[:200])
+    assert [np.frombuffer(c, "<u2").tolist() for c in coded] == [
+        other.encode(t, add_special_tokens=False).ids for t in listed[:200]
+    ]
 
 
 PAGE = (
