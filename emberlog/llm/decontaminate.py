@@ -1,15 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are compared without case (A-Z) and ASCII punctuation. Every sequence of
 ``SEED_WORDS`` words of a test item is a seed. Training texts are read once for
-places of seeds; a fixed-size bit set of all seeds passes over the rest. Places
-are counted over the whole corpus, and a seed that is far more frequent than the
-seeds of its item usually are is a common phrase and dropped: an item that many
-documents copy keeps its seeds, since they are all about as frequent. The rest
-join texts to items; the passage around the seeds of a pair, of the item's length
-and some more on both sides, is aligned with the item word by word. A pair counts
-as copied if its score reaches ``least`` of what an exact copy scores, which
-edited and paraphrased copies still do.
+places of seeds; a fixed-size bit set of all seeds passes over the rest. Every
+seed joins texts to items, however frequent it is: an edited copy that is itself
+copied often has frequent seeds only. The passage around the seeds of a pair, of
+the item's length and as much more on both sides as a copy can have words put in,
+is aligned with the item word by word, unless too few of the item's words are in
+it for any alignment to pass. A pair counts as copied if its score reaches
+``least`` of what an exact copy scores, which edited and paraphrased copies still
+do.
 
 Rows: (doc_id, item_id) pairs, once each, with the best score. Null texts have no
 words; null ids are never matched. An item with fewer than SEED_WORDS words is
@@ -29,8 +29,6 @@ from emberlog.llm.shared import BitSet, rows_named, stored
 from emberlog.llm.words import U64, Words, inside, ngrams, pieces, signed
 
 SEED_WORDS = 4
-# A seed this many times as frequent as the median seed of its item is no seed.
-COMMON = 8
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SIMILARITY = 0.5
 
@@ -121,6 +119,9 @@ def aligned(rows: DataFrame, least: float) -> DataFrame:
             for at in range(batch.num_rows):
                 doc, number, first = (columns[i][at].as_py() for i in range(3))
                 passage, item = (columns[i][at].values.to_numpy(zero_copy_only=False) for i in (3, 4))
+                # A score is at most MATCH for each item word that the passage has.
+                if np.isin(item, passage).sum() < least * len(item):
+                    continue
                 score, item_end, end = align(item, passage)
                 if score < least * MATCH * len(item):
                     continue
@@ -147,19 +148,19 @@ def find_copies(documents: DataFrame, benchmark: DataFrame, least: float = LEAST
         seed_places(docs, BitSet(seeds.select("seed"))).join(seeds.select("seed").distinct(), "seed", "left_semi"),
         "places",
     )
-    often = places.groupBy("seed").agg(F.count("*").alias("often"))
-    counted = seeds.join(often, "seed").select("seed", "item_id", "at", "size", "often")
-    usual = counted.groupBy("item_id").agg(F.percentile_approx("often", 0.5, 10000).alias("usual"))
-    rare = counted.join(usual, "item_id").where(F.col("often") <= COMMON * F.col("usual")).drop("often", "usual")
+    # One row for each seed of a document or an item, however often it is repeated there.
+    held = places.groupBy("seed", "doc_id").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    asked = seeds.groupBy("seed", "item_id", "size").agg(F.min("at").alias("first_at"), F.max("at").alias("last_at"))
     spans = stored(
-        places.join(rare, "seed").groupBy("doc_id", "item_id").agg(
-            F.min(F.col("place") - F.col("at")).alias("low"),
-            F.max(F.col("place") - F.col("at") + F.col("size")).alias("high"),
+        held.join(asked, "seed").groupBy("doc_id", "item_id").agg(
+            F.min(F.col("low") - F.col("last_at")).alias("low"),
+            F.max(F.col("high") - F.col("first_at") + F.col("size")).alias("high"),
             F.max("size").alias("size"),
         ),
         "spans",
     )
-    slack = F.floor(F.col("size") / 2).cast("long")
+    # More words than this put into a copy cost more than all its matches can spare.
+    slack = F.ceil(F.col("size") * MATCH * (1 - least) / -GAP).cast("long")
     wanted = spans.groupBy("doc_id").agg(
         F.collect_list(F.struct("item_id", (F.col("low") - slack).alias("low"), (F.col("high") + slack).alias("high")))
         .alias("spans")
