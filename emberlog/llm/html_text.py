@@ -13,7 +13,9 @@ main text; these blocks are also laid out anew in other markup, with menus,
 sidebars, notices, adverts, forms and reader comments made of other blocks, so
 that the labeller doesn't rest on the markup of one site.
 
-Scripts, styles, comments and the head are no blocks. Character references are
+Scripts, styles, comments and what a head may hold are no blocks; a head ends where
+its markup does, as its closing tag may be left out. Of a template, svg, select or
+noscript element without an end only its own tag is none. Character references are
 decoded, white space becomes one blank, kept blocks are joined by one blank.
 
 Rows: one for each input row. Null or empty html, and pages without main text,
@@ -45,12 +47,20 @@ BATCH_BLOCKS = 8192
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|select|head|title|iframe)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(script|style|textarea|title|iframe|noframes)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(noscript|template|svg|select)(?=[\s/>])[^>]*>"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.DOTALL | re.IGNORECASE,
 )
+# Openings and ends of elements that hide what they hold, but not if they have no end.
+HOLDERS = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(script)(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+    r"|<(/?)(noscript|template|svg|select)(?=[\s/>])[^>]*>",
+    re.DOTALL | re.IGNORECASE,
+)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 # Elements inside a line of text; all others part blocks.
 INLINE = frozenset(
@@ -85,12 +95,29 @@ def names_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def holder_ends(html: str) -> dict[int, int]:
+    """Where each element of HOLDERS that has an end begins, and the place after its end."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for found in HOLDERS.finditer(html):
+        _, close, tag = found.groups()
+        if not tag:
+            continue
+        own = begun.setdefault(tag.lower(), [])
+        if not close and not found[0].endswith("/>"):
+            own.append(found.start())
+        elif close and own:
+            ends[own.pop()] = found.end()
+    return ends
+
+
 def blocks_of(html: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
     open_: list[tuple[str, tuple[str, ...]]] = []
     parts: list[str] = []
     linked, done = 0, 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -108,13 +135,18 @@ def blocks_of(html: str) -> list[Block]:
             if any(tag == "a" for tag, _ in open_):
                 linked += len(text)
 
-    for found in TOKEN.finditer(html):
+    while found := TOKEN.search(html, done):
         say(html[done : found.start()])
         done = found.end()
-        hidden, close, tag, rest, close2, tag2, rest2 = found.groups()
+        hidden, holder, close, tag, rest, close2, tag2, rest2 = found.groups()
         if hidden:
             flush()
             continue
+        if holder:
+            flush()
+            ends = holder_ends(html) if ends is None else ends
+            done = ends.get(found.start(), done)
+            continue
         tag, close, rest = (tag or tag2 or "").lower(), close or close2, rest or rest2 or ""
         if not tag:
             continue
@@ -125,7 +157,7 @@ def blocks_of(html: str) -> list[Block]:
                 if open_[at][0] == tag:
                     del open_[at:]
                     break
-        elif tag not in VOID:
+        elif tag not in VOID and tag != "head":
             if tag not in INLINE:
                 # A new block ends an open paragraph; an item or cell its open fellow.
                 ended = {"p"} | ({tag} if tag in ("li", "td", "th", "tr", "dd", "dt", "option") else set())

@@ -4,7 +4,7 @@ import brute
 import numpy as np
 import pytest
 
-from emberlog.llm import decontaminate
+from emberlog.llm import decontaminate, html_text
 
 
 def tables(spark, docs, items):
@@ -63,3 +63,39 @@ def test_copies_of_woven_texts_equal_plain_code(spark):
         docs[d] = " ".join(out)
     got, want = similarities(spark, docs, items), brute.copies(docs, items)
     assert {k: v for k, v in got.items() if v >= 0.5} == pytest.approx(want) and len(want) > 30
+
+
+# ------------------------------------------------------------------------- pages
+
+
+def said(html):
+    return [b.text for b in html_text.blocks_of(html)]
+
+
+@pytest.mark.parametrize("body", ["<body><p>one</p>", "<p>one</p>", "one", "<BODY class=a>one", "<div>one</div></body></html>"])
+def test_a_head_ends_without_its_tag(body):
+    for end in ("", "</head>"):
+        head = "<title>t</title><meta name=a><link href=b><style>p{}</style><script>x</script><noscript><i>n</i></noscript>"
+        blocks = html_text.blocks_of(f"<!doctype html><html><head>{head}{end}{body}")
+        assert [b.text for b in blocks] == ["one"] and "t:head" not in blocks[0].path
+    assert said("<html><head><title>t</title></head><body>a</body></html>") == ["a"]
+
+
+@pytest.mark.parametrize("tag", ["svg-icon", "select-box", "title-bar", "template-x", "head-line", "script-note", "style-a"])
+def test_elements_of_ones_own_are_not_hidden(tag):
+    html = f"<body><{tag} a=b>in</{tag}><p>one</p><svg><text>x</text></svg><p>two</p>"
+    assert said(html) == ["in", "one", "two"]
+
+
+@pytest.mark.parametrize("tag", ["svg", "select", "template", "noscript"])
+def test_elements_without_an_end_hide_only_their_tag(tag):
+    assert said(f"<p>one</p><{tag} a=b><p>two</p>") == ["one", "two"]
+    assert all(tag not in name for b in html_text.blocks_of(f"<{tag}><p>two</p>") for name in b.path)
+    # Also where another one ends later, and with one inside another.
+    assert said(f"<{tag}><p>two</p><{tag.upper()}>no</{tag} ><p>three</p>") == ["two", "three"]
+    assert said(f"<p>one</p><{tag}>no<{tag}>no</{tag}>no</{tag}\n><p>two</p>") == ["one", "two"]
+    assert said(f"<p>one</p><{tag}>no<!-- </{tag}> -->no</{tag}><{tag}/><p>two</p>") == ["one", "two"]
+
+
+def test_many_elements_without_an_end_are_read_in_time():
+    assert len(said("<svg><p>a" * 20_000)) == 20_000
