@@ -9,9 +9,11 @@ the item's length and as much more on both sides as a copy can have words put in
 is aligned with the item word by word, unless too few of the item's words are in
 it for any alignment to pass. A pair counts as copied if its score reaches
 ``least`` of what an exact copy scores, which edited and paraphrased copies still
-do.
+do. A part of an item counts as well: LONG_RUN or more of its words in a row that
+are aligned with at least ``least`` of what an exact copy of just these scores.
 
-Rows: (doc_id, item_id) pairs, once each, with the best score. Null texts have no
+Rows: (doc_id, item_id) pairs, once each, with the best score as a share of the
+whole item's, which is below ``least`` where only a part is copied. Null texts have no
 words; null ids are never matched. An item with fewer than SEED_WORDS words is
 too short to be told from chance and is never matched. Repeated rows of either
 table change nothing. Only the named columns are read.
@@ -31,6 +33,9 @@ from emberlog.llm.words import U64, Words, inside, ngrams, pieces, signed
 SEED_WORDS = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SIMILARITY = 0.5
+# Words of an item that count as copied however long the item is. Passages that texts
+# share with an item by chance are far shorter: 6 words at most in the given tables.
+LONG_RUN = 20
 
 
 def item_words(benchmark: DataFrame) -> DataFrame:
@@ -109,8 +114,31 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best, item_end, end
 
 
+def runs_long(item: np.ndarray, passage: np.ndarray, least: float) -> bool:
+    """Whether LONG_RUN item words or more are aligned with ``least`` of their full score.
+
+    Each item word costs ``least`` of a match, so only alignments of that share
+    stay above zero; of equal ones the longest is held. A cell is a score in
+    thousandths, and in its low bits the number of item words.
+    """
+    bits = 24
+    cost = round(1000 * least * MATCH)
+    same, other, skip = (((1000 * score - cost) << bits) + 1 for score in (MATCH, MISMATCH, GAP))
+    row = np.zeros(len(passage) + 1, np.int64)
+    drift = np.arange(1, len(passage) + 1) * ((1000 * GAP) << bits)
+    for word in item:
+        match = passage == word
+        reached = row[:-1] + np.where(match, same, other)
+        if ((reached[match] & ((1 << bits) - 1)) >= LONG_RUN).any():
+            return True
+        np.maximum(reached, row[1:] + skip, out=reached)
+        np.maximum(reached, 0, out=reached)
+        row[1:] = np.maximum.accumulate(reached - drift) + drift
+    return False
+
+
 def aligned(rows: DataFrame, least: float) -> DataFrame:
-    """Rows (doc_id, item_id, first, passage, words) aligned; those that reach ``least``."""
+    """Rows (doc_id, item_id, first, passage, words) aligned; those copied in whole or in part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,10 +148,11 @@ def aligned(rows: DataFrame, least: float) -> DataFrame:
                 doc, number, first = (columns[i][at].as_py() for i in range(3))
                 passage, item = (columns[i][at].values.to_numpy(zero_copy_only=False) for i in (3, 4))
                 # A score is at most MATCH for each item word that the passage has.
-                if np.isin(item, passage).sum() < least * len(item):
+                lowest = least * MATCH * min(len(item), LONG_RUN)
+                if MATCH * np.isin(item, passage).sum() < lowest:
                     continue
                 score, item_end, end = align(item, passage)
-                if score < least * MATCH * len(item):
+                if score < least * MATCH * len(item) and (score < lowest or not runs_long(item, passage, least)):
                     continue
                 # The same from its end backwards gives its beginning.
                 _, _, back = align(item[:item_end][::-1], passage[:end][::-1])

@@ -65,6 +65,56 @@ def test_copies_of_woven_texts_equal_plain_code(spark):
     assert {k: v for k, v in got.items() if v >= 0.5} == pytest.approx(want) and len(want) > 30
 
 
+def runs_long(item, passage, least):
+    """The same as the operator's by pairs of score and item words, cell by cell."""
+    cost = round(1000 * least * 2)
+    row = [(0, 0)] * (len(passage) + 1)
+    for a in item:
+        new = [(0, 0)]
+        for j, b in enumerate(passage, 1):
+            reached = (row[j - 1][0] + (2000 if a == b else -1000) - cost, row[j - 1][1] + 1)
+            if a == b and reached[0] >= 0 and reached[1] >= decontaminate.LONG_RUN:
+                return True
+            skipped = (row[j][0] - 1000 - cost, row[j][1] + 1)
+            new.append(max((0, 0), reached, skipped, (new[-1][0] - 1000, new[-1][1])))
+        row = new
+    return False
+
+
+def test_long_runs_equal_cell_by_cell():
+    draw = np.random.default_rng(5)
+    seen = set()
+    for _ in range(300):
+        item = draw.integers(0, 30, draw.integers(15, 60))
+        copy = np.where(draw.random(len(item)) < draw.random() * 0.6, draw.integers(0, 30, len(item)), item)
+        passage = np.concatenate([draw.integers(0, 30, draw.integers(0, 30)), copy[: draw.integers(1, len(item))]])
+        least = float(draw.choice([0.3, 0.5, 0.75, 1.0]))
+        seen.add(got := decontaminate.runs_long(item, passage, least))
+        assert got == runs_long(item.tolist(), passage.tolist(), least)
+    assert seen == {True, False}
+
+
+def test_long_parts_of_long_items_are_copies(spark):
+    sizes = {1: 59, 2: 300, 3: 1000}
+    words = {i: [f"i{i}w{k}" for k in range(n)] for i, n in sizes.items()}
+    rest = [f"o{k}" for k in range(50)]
+    edited = [w if k % 5 else "x" for k, w in enumerate(words[3][400:430])]
+    parts = {
+        1: words[1][:29], 2: words[2][100:245], 3: words[3][500:520], 4: edited,
+        # Nineteen words are too few, also where they stand twice.
+        5: words[3][500:519], 6: words[2][10:29] + rest + words[2][40:59], 7: words[1][20:24],
+    }
+    docs = {d: " ".join(rest + part + rest) for d, part in parts.items()}
+    items = {i: " ".join(w) for i, w in words.items()}
+    got = similarities(spark, docs, items)
+    score = {(1, 1): 29 / 59, (2, 2): 145 / 300, (3, 3): 20 / 1000, (4, 3): (24 * 2 - 5) / 2000}
+    assert got == pytest.approx(score)
+    rows = {r["doc_id"]: r for r in decontaminate.find_copies(*tables(spark, docs, items)).collect()}
+    assert (rows[2]["first_word"], rows[2]["end_word"]) == (50, 195)
+    kept = decontaminate.keep_clean(*tables(spark, docs, items)).collect()
+    assert {r["doc_id"] for r in kept} == {5, 6, 7}
+
+
 # ------------------------------------------------------------------------- pages
 
 
