@@ -7,9 +7,9 @@ and a few measures (length, share of link text, stops, capitals). A bidirectiona
 LSTM in numpy reads the blocks of a page in order and gives each the probability
 of being main text, so a block is judged with the whole page in view.
 
-The labeller is trained on a bounded sample of the pages (``TRAINING_PAGES``, those
-with the smallest hashes of their html). Sections of the sampled pages say which blocks are
-main text; these blocks are also laid out anew in other markup, with menus,
+The labeller is trained on a bounded sample of the pages whose sections say which
+blocks are main text (``TRAINING_PAGES``, those with the smallest hashes of their
+html, however few of the table's pages have such sections). These blocks are also laid out anew in other markup, with menus,
 sidebars, notices, adverts, forms and reader comments made of other blocks, so
 that the labeller doesn't rest on the markup of one site.
 
@@ -410,17 +410,38 @@ def main_texts(pages: list[str], model: Labeller | None) -> list[str]:
     return out
 
 
+def teachers(pages: DataFrame, *columns: str) -> DataFrame:
+    """Columns of the pages whose sections tell their main text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches, "html"):
+            can = [any(labels_of(blocks_of(h))) for h in piece.column("html").to_pylist()]
+            yield piece.select(columns).filter(pa.array(can, pa.bool_()))
+
+    return pages.mapInArrow(run, pages.select(*columns).schema)
+
+
 def training_sample(pages: DataFrame, most: int = TRAINING_PAGES) -> list[str]:
-    """The html of at most ``most`` different pages, those with the smallest hashes.
+    """The html of at most ``most`` different pages that can teach, those with the smallest hashes.
 
     The hashes are found first, so that no task sends more than the pages taken.
+    Pages are read from the smallest hash on, until enough can teach or all are read.
     """
     known = pages.where("html is not null and html <> ''").select("html", F.xxhash64("html").alias("order"))
-    order = known.select("order").distinct().orderBy("order").limit(most).collect()
+    smallest, largest = -(1 << 63), (1 << 63) - 1
+    size = max(pages.count(), 1)
+    wanted = 2 * most
+    while True:
+        upto = min(smallest + (wanted << 64) // size, largest)
+        able = teachers(known.where(F.col("order") <= F.lit(upto)), "order")
+        order = [r["order"] for r in able.distinct().orderBy("order").limit(most).collect()]
+        if len(order) == most or upto == largest:
+            break
+        wanted *= 8
     if not order:
         return []
-    taken = known.where(F.col("order") <= order[-1]["order"]).groupBy("order").agg(F.min("html").alias("html"))
-    return [r["html"] for r in sorted(taken.collect())]
+    taken = teachers(known.where(F.col("order").isin(order)), "order", "html")
+    return [r["html"] for r in sorted(taken.groupBy("order").agg(F.min("html").alias("html")).collect())]
 
 
 def extract(pages: DataFrame, model: Labeller | None) -> DataFrame:

@@ -3,6 +3,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.llm import decontaminate, html_text
 
@@ -149,3 +150,17 @@ def test_elements_without_an_end_hide_only_their_tag(tag):
 
 def test_many_elements_without_an_end_are_read_in_time():
     assert len(said("<svg><p>a" * 20_000)) == 20_000
+
+
+def test_few_pages_that_can_teach_are_all_found(spark):
+    able = [f"<nav>n{i}</nav><article><p>Main text {i}.</p></article><footer>f</footer>" for i in range(6)]
+    rest = [f"<div>page {i}</div>" for i in range(300)]
+    rows = [(i, "u", h) for i, h in enumerate(rest + able + able[:2])] + [(None, "u", None), (999, "u", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    by_hash = [r["html"] for r in spark.createDataFrame([(h,) for h in able], "html string").orderBy(F.xxhash64("html")).collect()]
+    # Other pages have smaller hashes than these.
+    first = pages.where("html <> ''").select("html", F.xxhash64("html").alias("order")).orderBy("order").limit(3).collect()
+    assert not {r["html"] for r in first} & set(able)
+    for most in (1, 3, 6, 100):
+        assert html_text.training_sample(pages, most) == by_hash[:most]
+    assert html_text.train(html_text.training_sample(pages, 3)) is not None
