@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import (
     decontaminate, html_text, jaccard_join, language, quality, repeated_spans, repetition,
-    secret_spans, sentence_pieces, token_files,
+    secret_spans, sentence_pieces, token_files, token_pairs,
 )
 from emberlog.llm.shared import stored, table
 from emberlog.session import scratch_dir
@@ -17,6 +17,7 @@ from emberlog.session import scratch_dir
 # Vocabulary files are parameters of the operators; these are the public ones.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -92,6 +93,12 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = token_pairs.align_texts(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
+    digest = F.when(F.col("groups").isNotNull(), F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_html_text": op2_html_text,
@@ -103,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op13_token_alignment": op13_token_alignment,
 }
 # Words of a text, as the operators take them.
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
