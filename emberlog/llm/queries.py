@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import (
-    decontaminate, html_text, jaccard_join, language, quality, repeated_spans, repetition,
+    decontaminate, hard_negatives, html_text, jaccard_join, language, quality, repeated_spans, repetition,
     secret_spans, sentence_pieces, token_files, token_pairs,
 )
 from emberlog.llm.shared import stored, table
@@ -93,6 +93,16 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.col("label").cast("long")
+    noisy = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.mine_negatives(
+        rows.select("vec_id", noisy.alias("label"), F.col("embedding").alias("vector"),
+                    (F.col("vec_id") % 50 == 0).alias("anchor"))
+    )
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = token_pairs.align_texts(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
     digest = F.when(F.col("groups").isNotNull(), F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
@@ -110,6 +120,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_sentence_pieces": op10_sentence_pieces,
+    "op11_hard_negatives": op11_hard_negatives,
     "op13_token_alignment": op13_token_alignment,
 }
 # Words of a text, as the operators take them.
