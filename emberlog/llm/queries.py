@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import (
-    decontaminate, hard_negatives, html_text, jaccard_join, language, quality, repeated_spans, repetition,
-    secret_spans, sentence_pieces, token_files, token_pairs,
+    decontaminate, hard_negatives, html_text, jaccard_join, language, neighbours, quality, repeated_spans,
+    repetition, secret_spans, sentence_pieces, token_files, token_pairs,
 )
 from emberlog.llm.shared import stored, table
 from emberlog.session import scratch_dir
@@ -103,6 +103,13 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.search(
+        rows.select("vec_id", F.col("embedding").alias("vector"), (F.col("vec_id") % 100 == 0).alias("query"))
+    ).withColumn("rank", F.col("rank").cast("int"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = token_pairs.align_texts(table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_MODEL)
     digest = F.when(F.col("groups").isNotNull(), F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
@@ -121,6 +128,7 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_sentence_pieces": op10_sentence_pieces,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_neighbours": op12_neighbours,
     "op13_token_alignment": op13_token_alignment,
 }
 # Words of a text, as the operators take them.

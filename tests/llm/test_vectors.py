@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from emberlog.llm import hard_negatives, vector_blocks
+from emberlog.llm import hard_negatives, neighbours, vector_blocks
 from emberlog.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -103,3 +103,109 @@ def test_threshold_stops_at_the_right_rows(shape):
         for (at, found), x, y in zip(lists.best(anchor, wanted, low, high, 3), low, high, strict=True):
             rows = [i for i in np.lexsort((np.arange(shape[0]), -scores)) if wanted[i] and x <= scores[i] <= y][:3]
             assert at.tolist() == rows and found.tolist() == scores[rows].tolist()
+
+
+# ------------------------------------------------------------------- neighbours
+
+
+def plain_neighbours(rows, k=10):
+    """Query to its k nearest (distance, id) among rows (id, vector, query)."""
+    kept = {}
+    for i, vector, query in rows:
+        if i is not None and usable(vector) and any(vector):
+            exact = [float(np.float32(x)) for x in vector]
+            old = kept.get(i)
+            kept[i] = (min(exact, old[0]) if old else exact, bool(query) or bool(old and old[1]))
+    sizes = [len(v) for v, _ in kept.values()]
+    most = max(set(sizes), key=lambda n: (sizes.count(n), n), default=0)
+    kept = {i: r for i, r in kept.items() if len(r[0]) == most}
+    return {
+        q: sorted((math.dist(v, w), i) for i, (w, _) in kept.items() if i != q)[:k]
+        for q, (v, query) in kept.items() if query
+    }
+
+
+def searched(spark, rows, **settings):
+    kind = "vec_id long, vector array<float>, query boolean, kind string, part string, label string, rank string"
+    frame = spark.createDataFrame([(*r, "k", "p", "l", "r") for r in rows], kind).repartition(3)
+    found = {}
+    for r in neighbours.search(frame, **settings).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    assert all([rank for rank, _, _ in sorted(f)] == list(range(1, len(f) + 1)) for f in found.values())
+    return {q: [(score, i) for _, score, i in sorted(f)] for q, f in found.items()}
+
+
+def recall(found, true):
+    hits = sum(len({i for _, i in found.get(q, [])} & {i for _, i in near}) for q, near in true.items())
+    return hits / sum(map(len, true.values()))
+
+
+def test_neighbours_of_a_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    true = plain_neighbours([(r["vec_id"], r["embedding"], r["vec_id"] % 100 == 0) for r in rows])
+    got = QUERIES["op12_neighbours"](spark, "/root/testdata/sf0.1").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["score"], r["vec_id"]))
+    vectors = {r["vec_id"]: r["embedding"] for r in rows}
+    for q, listed in found.items():
+        assert [rank for rank, _, _ in sorted(listed)] == list(range(1, 11))
+        assert [i for _, _, i in sorted(listed)] == [i for _, i in sorted((s, i) for _, s, i in listed)]
+        assert all(s == pytest.approx(math.dist(vectors[q], vectors[i]), rel=1e-13) for _, s, i in listed)
+    assert recall({q: [(s, i) for _, s, i in f] for q, f in found.items()}, true) >= 0.93
+
+
+def test_neighbours_in_clusters_ask_few_parts(spark, monkeypatch):
+    """Clusters and many copies: nearly all neighbours are found without reading most rows."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1200)
+    draw = np.random.default_rng(9)
+    centres = draw.standard_normal((40, 12)) * 4
+    rows = [(i, (centres[i % 40] + 0.4 * draw.standard_normal(12)).tolist(), i % 50 == 0) for i in range(4000)]
+    rows += [(10_000 + i, centres[3].tolist(), i % 100 == 0) for i in range(900)]
+    read = []
+    real = neighbours.shares_of
+    monkeypatch.setattr(neighbours, "shares_of", lambda r, router, mass: read.append(mass) or real(r, router, mass))
+    asked = []
+    packer = neighbours.packed
+    monkeypatch.setattr(neighbours, "packed", lambda r, *a: asked.append(r) or packer(r, *a))
+    true = plain_neighbours(rows)
+    found = searched(spark, rows)
+    assert recall(found, true) >= 0.9 and len(found) == len(true)
+    assert asked[-1].count() < 0.4 * neighbours.PARTS * len(true)
+    # Copies are at no distance, and the smallest ids come first.
+    assert found[10_100] == [(0.0, 10_000 + i) for i in range(10)]
+
+
+def test_neighbours_in_odd_tables(spark, monkeypatch):
+    monkeypatch.setattr(vector_blocks, "BLOCK_BYTES", 5 * 8 * 3)
+    monkeypatch.setattr(neighbours, "GROUP_ROWS", 2)
+    rows = [
+        (1, [1.0, 0.0, 2.0], True), (2, [1.0, 0.0, 2.0], True), (3, [0.0, 0.0, 0.0], True), (4, None, True),
+        (5, [], True), (6, [1.0, None, 1.0], True), (7, [float("nan"), 1.0, 1.0], True), (8, [1.0, 2.0], True),
+        (None, [1.0, 1.0, 1.0], True), (9, [1e30, -1e30, 3e38], True), (10, [1e-30, 0.0, 0.0], None),
+        (11, [float("inf"), 1.0, 1.0], True), (2, [1.0, 0.0, 2.0], False), (12, [5.0, 5.0, 5.0], True),
+        (12, [4.0, 5.0, 5.0], True), *[(20 + i, [0.5, 0.5, 0.25 * (i // 4)], i % 3 == 0) for i in range(16)],
+    ]
+    true, found = plain_neighbours(rows), searched(spark, rows)
+    assert set(found) == set(true)
+    for q, near in true.items():
+        assert [i for _, i in found[q]] == [i for _, i in near]
+        assert [s for s, _ in found[q]] == pytest.approx([s for s, _ in near], rel=1e-12)
+    few = searched(spark, rows[:2])
+    assert few == {1: [(0.0, 2)], 2: [(0.0, 1)]}
+    assert searched(spark, rows[:1]) == {} and searched(spark, []) == {}
+    assert searched(spark, [(i, v, False) for i, v, _ in rows]) == {}
+
+
+def test_parts_are_balanced_and_cut_few_edges():
+    draw = np.random.default_rng(3)
+    points = np.concatenate([draw.standard_normal((100, 6)) + 9 * c for c in np.eye(6)[[0, 1, 2, 3]]])
+    graph = neighbours.Graph(neighbours.nearest(points, points, 8))
+    part = graph.parts(len(points), 4)
+    assert np.bincount(part).tolist() == [100] * 4
+    assert (part[graph.a] != part[graph.b]).mean() < 0.05
+    near = neighbours.nearest(points, points, 8)
+    for i in (0, 57, 399):
+        apart = np.square(points - points[i]).sum(axis=1)
+        apart[i] = np.inf
+        assert set(near[i]) == set(np.argsort(apart)[:8])
