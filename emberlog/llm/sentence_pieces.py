@@ -11,7 +11,8 @@ and it gives the ids that the merges give.
 
 All paths meet where no piece of the model can lie across a place, as between a
 character and a following blank: texts are cut there, and parts seen before are
-not run again. The store of parts is emptied when full; this changes no result.
+not run again. The store of parts has two generations: when the new one is full, the
+old one is dropped and what is met again comes over; this changes no result.
 
 Characters that no piece has become their bytes. Models that normalise the text
 beyond a leading blank are refused. Decoding gives the text back exactly, except
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -140,6 +142,24 @@ class PieceModel:
         return (held[0], held[1]) if len(held) == 2 else None
 
 
+class Store(dict):
+    """What ``make`` gives for each key, of the last keys met: half of ``size`` of them in each generation."""
+
+    def __init__(self, make, size: int):
+        self.make, self.half = make, size // 2
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers; parts seen before are stored.
 
@@ -148,26 +168,48 @@ class Encoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.stored: dict[str, bytes] = {}
-        self.fit: dict[int, bool] = {}
+        self.stored = Store(self.ids_of, STORE)
+        # For each left piece, whether a right one can follow; filled once for each pair.
+        self.fit: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
         self.count = len(model.surface)
         self.names = {i: name for name, i in model.ids.items()}
-        # Pieces by their characters: {character: [further characters, id or None, score]}.
-        self.tree: dict = {}
-        for name, i in model.ids.items():
-            node = self.tree
-            for char in name[:-1]:
-                node = node.setdefault(char, [{}, None, 0.0])[0]
-            node.setdefault(name[-1], [{}, None, 0.0])[1:] = [i, model.scores[name]]
+        # Pieces by their characters: {character: (further characters, id or -1, score)}.
+        self.tree = self.node(sorted(model.ids), 0, 0, len(model.ids))
+
+    def node(self, names: list[str], depth: int, low: int, high: int) -> dict:
+        """The tree of sorted names from ``low`` to ``high``, which have ``depth`` characters in common."""
+        out = {}
+        while low < high:
+            if len(names[low]) == depth:
+                low += 1
+                continue
+            char, end = names[low][depth], low + 1
+            while end < high and names[end][depth] == char:
+                end += 1
+            name = names[low]
+            number, score = -1, 0.0
+            if len(name) == depth + 1:
+                number, score = self.model.ids[name], self.model.scores[name]
+            elif not depth:
+                number, score = self.count + ord(char), self.model.unknown_score
+            out[char] = self.node(names, depth + 1, low, end), number, score
+            low = end
+        return out
 
     def name(self, number: int) -> str:
         return self.names[number] if number < self.count else chr(number - self.count)
 
-    def follows(self, left: int, right: int) -> bool:
-        """Whether merging would leave the seam between two pieces open."""
-        if len(self.fit) > 4 * STORE:
+    def seams(self, left: int) -> dict[int, bool]:
+        if self.pairs > 4 * STORE:
             self.fit.clear()
-        known = self.fit[left << 32 | right] = self.open_seam(self.name(left), self.name(right))
+            self.pairs = 0
+        return self.fit.setdefault(left, {})
+
+    def follows(self, seams: dict[int, bool], left: int, right: int) -> bool:
+        """Whether merging would leave the seam between two pieces open."""
+        self.pairs += 1
+        known = seams[right] = self.open_seam(self.name(left), self.name(right))
         return known
 
     def open_seam(self, left: str, right: str) -> bool:
@@ -193,8 +235,9 @@ class Encoder:
 
     def search(self, part: str) -> list[int]:
         """Ids of one part of a text."""
-        merges, tree, fit, count = self.model.kind == MERGES, self.tree, self.fit, self.count
-        lost, size, out, base = self.model.unknown_score, len(part), [], 0
+        if self.model.kind == MERGES and len(part) <= WINDOW:
+            return self.merge_path(part)
+        size, out, base = len(part), [], 0
         # For each boundary from the settled one on: its last piece (None: no
         # path), where that begins, and the path's score.
         room = min(size, WINDOW) + self.model.longest + 1
@@ -209,31 +252,60 @@ class Encoder:
                 last = last[settled:] + [None] * max(settled, 1)
                 begin = [b - settled for b in begin[settled:]] + [0] * max(settled, 1)
                 total = total[settled:] + [0.0] * max(settled, 1)
+            if last[at] is not None:
+                self.reach(part[start : start + self.model.longest], at, last, begin, total)
+        return out + self.path(last, begin, size - base)
+
+    def reach(self, ahead: str, at: int, last: list, begin: list, total: list) -> None:
+        """Let the path to a boundary go on by every piece that the characters ahead begin with."""
+        merges, lost, before = self.model.kind == MERGES, self.model.unknown_score, last[at]
+        seams = self.seams(before) if merges and before >= 0 else None
+        children, to = self.tree, at
+        for char in ahead:
+            found = children.get(char)
+            if found is None:
+                if to > at:
+                    break
+                found = {}, self.count + ord(char), lost
+            children, number, gain = found
+            to += 1
+            if number < 0:
+                continue
+            if merges:
+                fits = seams is None or seams.get(number)
+                if fits or fits is None and self.follows(seams, before, number):
+                    last[to], begin[to] = number, at
+            elif last[to] is None or total[at] + gain > total[to]:
+                last[to], begin[to], total[to] = number, at, total[at] + gain
+
+    def merge_path(self, part: str) -> list[int]:
+        """Ids of a part that is shorter than the window, by the only path of a merge model."""
+        size, longest, tree, count = len(part), self.model.longest, self.tree, self.count
+        last, begin = [None] * (size + 1), [0] * (size + 1)
+        last[0] = -1
+        for at in range(size):
             before = last[at]
             if before is None:
                 continue
-            seam, score, node, to = before << 32, total[at], tree, at
-            for char in part[start : start + self.model.longest]:
-                found = node.get(char)
-                to += 1
+            seams = self.fit.get(before)
+            if seams is None:
+                seams = self.seams(before)
+            children, to = tree, at
+            for char in part[at : at + longest]:
+                found = children.get(char)
                 if found is None:
-                    if to > at + 1:
-                        break
-                    found = ({}, None, 0.0)
-                node, number, gain = found
-                if number is None:
-                    if to > at + 1:
-                        continue
-                    number, gain = count + ord(char), lost
-                if merges:
-                    if before >= 0:
-                        fits = fit.get(seam | number)
-                        if not (self.follows(before, number) if fits is None else fits):
-                            continue
-                    last[to], begin[to] = number, at
-                elif last[to] is None or score + gain > total[to]:
-                    last[to], begin[to], total[to] = number, at, score + gain
-        return out + self.path(last, begin, size - base)
+                    if to == at:
+                        last[to + 1], begin[to + 1] = count + ord(char), at
+                    break
+                children, number, _ = found
+                to += 1
+                if number >= 0:
+                    fits = seams.get(number)
+                    if fits or fits is None and (before < 0 or self.follows(seams, before, number)):
+                        last[to], begin[to] = number, at
+                if not children:
+                    break
+        return self.path(last, begin, size)
 
     def meeting(self, last: list[int | None], begin: list[int], at: int) -> int:
         """The latest boundary that all paths which can go on from here have in common."""
@@ -259,25 +331,16 @@ class Encoder:
                 out.append(self.model.unknown)
         return out
 
+    def ids_of(self, part: str) -> bytes:
+        return array("I", self.search(part)).tobytes()
+
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        stored, found = self.stored, self.model.parts.findall(self.model.prefix + text.replace(" ", BLANK))
-        try:
-            return b"".join([stored[part] for part in found])
-        except KeyError:
-            pass
-        out = []
-        for part in found:
-            ids = stored.get(part)
-            if ids is None:
-                ids = np.array(self.search(part), "<u4").tobytes()
-                if len(stored) >= STORE:
-                    stored.clear()
-                if len(part) <= WINDOW:
-                    stored[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        found = self.model.parts.findall(self.model.prefix + text.replace(" ", BLANK))
+        if max(map(len, found)) > WINDOW:
+            return b"".join([self.stored[p] if len(p) <= WINDOW else self.ids_of(p) for p in found])
+        return b"".join(map(self.stored.__getitem__, found))
 
     def decode(self, ids: bytes) -> str:
         surface = self.model.surface
