@@ -29,16 +29,25 @@ def count_by_bucket(logs: DataFrame, arguments: Mapping[str, object]) -> DataFra
 
 def bucket_counts(
     logs: DataFrame, wanted: LogFilter, width_micros: int, group_by: str | None = None
+) -> DataFrame:
+    return ordered_buckets(counted_rows(logs, wanted, width_micros, group_by, wanted.since), group_by)
+
+
+def counted_rows(
+    logs: DataFrame, wanted: LogFilter, width_micros: int, group_by: str | None, origin_millis: int
 ) -> DataFrame:
     """Grouping runs on whole numbers: the bucket start in microseconds and, for
-    severities, the code. Names and timestamps are made for the result rows only,
-    and severities sort by code."""
+    severities, the code."""
     rows = filter_logs(logs, wanted)
-    start = bucket_start_micros(F.col("timestamp"), wanted.since, width_micros)
+    start = bucket_start_micros(F.col("timestamp"), origin_millis, width_micros)
     keys = [start.alias("start_micros")]
     if group_by is not None:
         keys.append(F.col(group_by).alias("group"))
-    counted = rows.groupBy(*keys).agg(F.count("*").alias("count"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("count"))
+
+
+def ordered_buckets(counted: DataFrame, group_by: str | None) -> DataFrame:
+    """Names and timestamps are made for the result rows only, and severities sort by code."""
     order = ["start_micros"] if group_by is None else ["start_micros", "group"]
     if group_by is None:
         group = F.lit(None).cast("string")

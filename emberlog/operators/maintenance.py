@@ -85,7 +85,8 @@ def drop_expired(
     oldest = today - timedelta(retention_days)
     dropped = [day for day in log_days(spark, table) if day < oldest]
     for day in dropped:
-        delete_folder(spark, f"{table.logs}/event_date={day.isoformat()}")
+        for path in (table.logs, table.minutes):
+            delete_folder(spark, f"{path}/event_date={day.isoformat()}")
     for part in ("rejected", "acknowledgements"):
         for day in days_of(spark, table.part(part)):
             if day < oldest:
@@ -180,5 +181,6 @@ def purge_replaced(spark: SparkSession, table: LogTable) -> int:
             writer, number = split_name(name)
             replaced = name != one.folder and writer.startswith("compact_")
             if replaced or number <= one.upto.get(writer, -1):
+                delete_folder(spark, f"{table.minutes}/event_date={day}/{folder}")
                 deleted += bool(delete_folder(spark, f"{path}/{folder}"))
     return deleted

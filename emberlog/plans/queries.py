@@ -20,6 +20,7 @@ from emberlog.operators.ingest import ingest
 from emberlog.operators.listing import fetch_page, list_page, newest_row, output_columns
 from emberlog.operators.maintenance import compact_day, purge_replaced, run_maintenance
 from emberlog.operators.pages import page_index
+from emberlog.operators.rollup import count_table
 from emberlog.operators.validation import judge_batches, rejected_entries
 from emberlog.plans import views
 from emberlog.session import configure, scratch_dir
@@ -631,6 +632,33 @@ def stored_bucket_by_level(spark, sf_dir):
     return bucket_rows(count_by_bucket(read_logs(spark, ingested(spark, sf_dir)), arguments))
 
 
+@query(f"""
+WITH {STORED}
+SELECT strftime(time_bucket(INTERVAL '5 minutes', t, TIMESTAMP '2024-01-03 00:01:00'), {ISO}) AS start,
+       {LEVEL} AS "group", count(*) AS count
+FROM stored WHERE t >= TIMESTAMP '2024-01-03 00:01:00' AND t < TIMESTAMP '2024-01-28 12:00:00' GROUP BY 1, 2
+""")
+def rollup_bucket_by_level(spark, sf_dir):
+    """From the counts per minute alone: buckets that begin on whole minutes."""
+    arguments = {"since": "2024-01-03T00:01:00Z", "until": "2024-01-28T12:00:00Z",
+                 "bucket": "5m", "group_by": "level"}
+    return bucket_rows(count_table(spark, ingested(spark, sf_dir), arguments))
+
+
+@query(f"""
+WITH {STORED}
+SELECT strftime(time_bucket(INTERVAL '1 hour', t, TIMESTAMP '2024-01-04 00:30:00'), {ISO}) AS start,
+       service AS "group", count(*) AS count
+FROM stored WHERE t >= TIMESTAMP '2024-01-04 00:30:00' AND t < TIMESTAMP '2024-01-29 10:59:31.25'
+  AND lv = 2 GROUP BY 1, 2
+""")
+def rollup_bucket_ragged_ends(spark, sf_dir):
+    """The last bucket ends inside a minute, whose rows are counted themselves."""
+    arguments = {"since": "2024-01-04T00:30:00Z", "until": "2024-01-29T10:59:31.250Z",
+                 "bucket": "1h", "group_by": "service", "level": "warn"}
+    return bucket_rows(count_table(spark, ingested(spark, sf_dir), arguments))
+
+
 def placed(page) -> list[tuple]:
     """Rows of a fetched page with their place, so that their order is compared."""
     return [
@@ -696,22 +724,20 @@ def kept_after_retention(spark, sf_dir):
 
 @query(f"WITH {STORED} {DAY_COUNTS} GROUP BY 1")
 def compacted_rows(spark, sf_dir):
-    """The table after its days were rewritten as one folder each and purged."""
-    table = streamed(spark, sf_dir)
-    for day in log_days(spark, table)[:3]:
+    """Four ingest batches of requests that came one after the other; then all days
+    are rewritten as one folder each, and the old folders removed."""
+    configure(spark)
+    table = LogTable(scratch_dir(spark, "compacted"))
+    raw = views.event_batches(spark, sf_dir)
+    bounds = raw.select("batch_id").agg(F.min("batch_id"), F.max("batch_id")).first()
+    first, last = (int(b.removeprefix("batch-")) for b in bounds)
+    cuts = [f"batch-{first + (last + 1 - first) * i // 4:012d}" for i in range(5)]
+    for number, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        ingest(raw.where((F.col("batch_id") >= low) & (F.col("batch_id") < high)), table, f"load-{number}")
+    for day in log_days(spark, table):
         compact_day(spark, table, day)
     purge_replaced(spark, table)
-    rows = read_logs(spark, table)
-    loaded = read_logs(spark, ingested(spark, sf_dir)).select("timestamp", "message", "id")
-    # Ids of a stream follow its micro-batches; times and messages tell the rows.
-    assert rows.select("id").distinct().count() == rows.count()
-    counts = rows.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
-        F.count("*").alias("rows")
-    )
-    ids = loaded.groupBy(iso_text(F.col("timestamp")).substr(1, 10).alias("event_date")).agg(
-        F.min("id").alias("first_id"), F.max("id").alias("last_id")
-    )
-    return counts.join(ids, "event_date")
+    return day_counts(spark, table)
 
 
 @query(f"WITH {ENTRIES} SELECT strftime(moment, '%Y-%m-%d') AS event_date, count(*) AS rows, "

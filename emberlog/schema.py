@@ -51,6 +51,16 @@ STORED_LOG = T.StructType([
     T.StructField("ingest_batch", T.StringType()),
 ])
 
+# Rows per minute, service and level; the time is the start of the minute.
+MINUTE_COUNT = T.StructType([
+    T.StructField("timestamp", T.TimestampType()),
+    T.StructField("level", T.ShortType()),
+    T.StructField("service", T.StringType()),
+    T.StructField("count", T.LongType()),
+    T.StructField("event_date", T.DateType()),
+    T.StructField("ingest_batch", T.StringType()),
+])
+
 REJECTED = T.ArrayType(
     T.StructType([
         T.StructField("index", T.IntegerType()),

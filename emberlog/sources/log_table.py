@@ -3,6 +3,7 @@
 Below one root::
 
     logs/event_date=D/ingest_batch=B/              accepted rows
+    minutes/event_date=D/ingest_batch=B/           their counts per minute, service and level
     rejected/received_date=D/ingest_batch=B/       refused entries with their reasons
     acknowledgements/received_date=D/ingest_batch=B/  the answer to every batch
     state/                                         what is committed, and the next id
@@ -21,7 +22,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from emberlog.functions.times import utc_date
-from emberlog.schema import ACKNOWLEDGEMENT, REJECTED, ROW_COLUMNS, STORED_LOG
+from emberlog.schema import ACKNOWLEDGEMENT, MINUTE_COUNT, REJECTED, ROW_COLUMNS, STORED_LOG
 from emberlog.sources.table_state import (
     TableState,
     Writer,
@@ -43,6 +44,8 @@ REJECTED_ROW = T.StructType([
 
 RECEIVED_DATE = T.StructField("received_date", T.DateType())
 
+MINUTE_MS = 60_000
+
 DAY_FOLDER = r"(?:event|received)_date=(\d{4}-\d{2}-\d{2})"
 
 
@@ -57,6 +60,10 @@ class LogTable:
     def logs(self) -> str:
         return self.part("logs")
 
+    @property
+    def minutes(self) -> str:
+        return self.part("minutes")
+
     @property
     def state(self) -> str:
         return self.part("state")
@@ -128,6 +135,30 @@ def write_logs(rows: DataFrame, table: LogTable, ingest_batch: str) -> None:
     )
 
 
+    write_minutes(rows.sparkSession, table, ingest_batch)
+
+
+def write_minutes(spark: SparkSession, table: LogTable, ingest_batch: str) -> None:
+    """Count the rows that an ingest batch has just written, reading three of their columns."""
+    written = (
+        spark.read.schema(STORED_LOG).option("basePath", table.logs)
+        .parquet(f"{table.logs}/event_date=*/ingest_batch={ingest_batch}")
+    )
+    minute = F.timestamp_millis(F.floor(F.unix_millis("timestamp") / MINUTE_MS) * MINUTE_MS)
+    counts = written.groupBy(
+        "event_date", minute.alias("timestamp"), "level", "service"
+    ).agg(F.count("*").alias("count"))
+    (
+        counts.select(*MINUTE_COUNT.fieldNames()[:-1], F.lit(ingest_batch).alias("ingest_batch"))
+        .hint("rebalance", "event_date")
+        .sortWithinPartitions("event_date", "ingest_batch", "service", "level", F.desc("timestamp"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date", "ingest_batch")
+        .parquet(table.minutes)
+    )
+
+
 def write_rejected(rejected: DataFrame, table: LogTable, ingest_batch: str) -> None:
     _replace_batch(rejected, table.part("rejected"), ingest_batch)
 
@@ -191,6 +222,12 @@ def read_logs_as(spark: SparkSession, table: LogTable, state: TableState) -> Dat
     return _read(spark, table.logs, STORED_LOG).filter(visible_rows(state))
 
 
+def read_rollup_as(spark: SparkSession, table: LogTable, state: TableState) -> DataFrame:
+    """Counts per minute, service and level of the rows that readers of a state see; one
+    minute has a row for each ingest batch with rows in it."""
+    return _read(spark, table.minutes, MINUTE_COUNT).filter(visible_rows(state))
+
+
 def _read_answers(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return _read(spark, path, T.StructType([*schema.fields, RECEIVED_DATE])).drop("received_date")
 
