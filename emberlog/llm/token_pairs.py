@@ -19,7 +19,8 @@ Most corpora need one. The hash's size is known before it is sent.
 Neither tokenizer joins anything across the seam of a character that is no white
 space and a blank, so texts are cut there and parts met before are not aligned again.
 Parts are encoded many at once, one after the other in one text, and parted at the
-bytes where they end. The store of parts keeps what is met most when it is full; it
+bytes where they end. Where A merges in the order of its ids, as byte-level vocabularies
+do, parts of Latin letters and marks go through tiktoken, which gives the same ids. The store of parts keeps what is met most when it is full; it
 changes no result. Tokenizers that could join across the seam get whole texts.
 
 Rows: one for each input row, repeated rows each on their own and counted each. Null
@@ -43,6 +44,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import sentencepiece
+import tiktoken
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
@@ -56,8 +58,12 @@ BLANK = "▁"
 # separators 1C to 1F, which the tokenizers count as text: not cutting there is safe.
 PART = re.compile(r" (?:[^ ]+|(?<=\s) )*")
 WHOLE = re.compile(r".+", re.DOTALL)
+# Parts that any byte-level pre-tokenizer takes as letters and marks, and how it does.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+LATIN = re.compile(rf" [{LETTERS}]+[.,;:!?]*")
+LATIN_WORDS = rf" ?[{LETTERS}]+|[.,;:!?]+"
 # Parts that a worker keeps, and how many are encoded as one text.
-STORE = 300_000
+STORE = 500_000
 TOGETHER = 500
 # Pairs that are looked up at once: 16 bytes and a few bits for each.
 SLICE_PAIRS = 1 << 22
@@ -95,6 +101,20 @@ def bytes_of_b(read: sentencepiece.SentencePieceProcessor) -> list[bytes]:
     ]
 
 
+def ranks_of(definition: str, surface: list[bytes]) -> dict[bytes, int] | None:
+    """Bytes to ids of a vocabulary of single bytes and merges whose ids grow in their order."""
+    model = json.loads(definition)["model"]
+    if model.get("type") != "BPE" or any(model.get(c) for c in ("dropout", "end_of_word_suffix", "ignore_merges")):
+        return None
+    known = model["vocab"]
+    made = [known["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    rest = set(known.values()) - set(made)
+    single = {i for i in rest if len(surface[i]) == 1}
+    if len(single) < 256 or made != sorted(set(made)) or made[:1] < [max(single)]:
+        return None
+    return {surface[i]: i for i in [*single, *made]}
+
+
 def separable(definition: str, names: list[str]) -> bool:
     """Whether neither tokenizer joins anything across the seam of a part."""
     first = json.loads(definition)
@@ -114,6 +134,7 @@ class Pair:
         read = sentencepiece.SentencePieceProcessor(model_proto=self.model)
         self.surface = bytes_of_a(self.definition), bytes_of_b(read)
         names = read.id_to_piece(list(range(read.get_piece_size())))
+        self.ranks = ranks_of(self.definition, self.surface[0])
         self.part = PART if separable(self.definition, names) else WHOLE
         self.key = zlib.crc32(self.definition.encode()), zlib.crc32(self.model)
 
@@ -126,6 +147,9 @@ class Aligner:
         self.a = Tokenizer.from_str(pair.definition)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=pair.model)
+        self.latin = pair.ranks and tiktoken.Encoding(
+            "latin", pat_str=LATIN_WORDS, mergeable_ranks=pair.ranks, special_tokens={}
+        )
         self.surface = [np.array([*one, None], object)[:-1] for one in pair.surface]
         self.length = [np.array([len(x) for x in one], np.int64) for one in pair.surface]
         # How ids are shown, inside their group and at its end.
@@ -174,11 +198,15 @@ class Aligner:
         odd = [p for p in parts if self.part is WHOLE or p[-1].isspace() or BLANK in p]
         left = set(odd)
         self.new_facts: list[np.ndarray] = []
-        even = [p for p in parts if p not in left]
-        for at in range(0, len(even), TOGETHER):
-            group = even[at : at + TOGETHER]
-            if not self.aligned(group):
-                odd += group
+        latin, even = [], []
+        for part in parts:
+            if part not in left:
+                (latin if self.latin and LATIN.fullmatch(part) else even).append(part)
+        for kind in (latin, even):
+            for at in range(0, len(kind), TOGETHER):
+                group = kind[at : at + TOGETHER]
+                if not self.aligned(group, kind is latin):
+                    odd += group
         for part in odd:
             if not self.aligned([part]):
                 self.number[part] = len(self.digest)
@@ -189,11 +217,16 @@ class Aligner:
         self.facts = np.concatenate([self.facts, *self.new_facts])
         self.met = np.concatenate([self.met, np.zeros(len(self.digest) - len(self.met), np.int64)])
 
-    def aligned(self, group: list[str]) -> bool:
+    def ids_of_a(self, text: str, latin: bool) -> list[int]:
+        if latin:
+            return self.latin.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def aligned(self, group: list[str], latin: bool = False) -> bool:
         """Align parts as one text; nothing is stored if the tokens don't give its bytes back."""
         text = "".join(group)
         ids = (
-            np.array(self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64),
+            np.array(self.ids_of_a(text, latin), np.int64),
             np.array(self.b.encode(text[1:]), np.int64),
         )
         raw = text.encode()
