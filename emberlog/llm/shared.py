@@ -87,6 +87,10 @@ def gathered(blocks: DataFrame, size: int, dtype: str) -> np.ndarray:
     return out
 
 
+def places(keys: np.ndarray, log_bits: int) -> np.ndarray:
+    return mix(keys.astype(np.int64, copy=False).view(U64)) >> U64(64 - log_bits)
+
+
 class BitSet:
     """A fixed number of bits that tells of a 64-bit key whether it may be in a set.
 
@@ -94,28 +98,27 @@ class BitSet:
     grows, so every use is followed by an exact join: the bits only save shuffles.
     """
 
-    LOG_BITS = 24
+    LOG_BITS, MOST_LOG_BITS = 24, 28
+
+    def __init__(self, keys: DataFrame, count: int = 0):
+        """``count``, where it is known, gives eight bits to each key, up to 32 MiB in all."""
+        log_bits = self.log_bits = min(max(self.LOG_BITS, (8 * count).bit_length()), self.MOST_LOG_BITS)
 
-    def __init__(self, keys: DataFrame):
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bits = np.zeros(1 << (BitSet.LOG_BITS - 3), np.uint8)
+            bits = np.zeros(1 << (log_bits - 3), np.uint8)
             for batch in batches:
                 found = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
-                place = BitSet.places(found)
+                place = places(found, log_bits)
                 np.bitwise_or.at(bits, place >> U64(3), (U64(1) << (place & U64(7))).astype(np.uint8))
             yield blocks_of(bits)
 
         rows = keys.mapInArrow(collect, "block long, body binary")
         merged = merge_blocks(rows, "uint8", either=True)
-        bits = gathered(merged, 1 << (self.LOG_BITS - 3), "uint8")
+        bits = gathered(merged, 1 << (log_bits - 3), "uint8")
         self.sent = keys.sparkSession.sparkContext.broadcast(bits)
 
-    @staticmethod
-    def places(keys: np.ndarray) -> np.ndarray:
-        return mix(keys.astype(np.int64, copy=False).view(U64)) >> U64(64 - BitSet.LOG_BITS)
-
     def passes(self, keys: np.ndarray) -> np.ndarray:
-        place = self.places(keys)
+        place = places(keys, self.log_bits)
         return (self.sent.value[place >> U64(3)] >> (place & U64(7)).astype(np.uint8)) & 1 == 1
 
 

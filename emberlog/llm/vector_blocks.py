@@ -97,7 +97,7 @@ def packed(rows: DataFrame, dtype: str, most_rows: int | None = None, extra: str
     columns = ["kind", "label", "vec_id", "vector", *([F.col(extra).alias("extra")] if extra else [])]
     ordered = rows.withColumn("mixed", F.xxhash64("vec_id")).repartitionByRange(
         max(parts, 1), "kind", "label", "mixed"
-    ).sortWithinPartitions("kind", "label", "mixed")
+    ).sortWithinPartitions("kind", "label", "mixed").coalesce(max(parts, 1))
     return ordered.select(*columns).mapInArrow(run, PACKED)
 
 

@@ -164,3 +164,65 @@ def test_few_pages_that_can_teach_are_all_found(spark):
     for most in (1, 3, 6, 100):
         assert html_text.training_sample(pages, most) == by_hash[:most]
     assert html_text.train(html_text.training_sample(pages, 3)) is not None
+
+
+# ------------------------------------------------------- seeds of many texts and items
+
+
+def aligned_pairs(monkeypatch):
+    """How many pairs come to be aligned."""
+    counts = []
+    real = decontaminate.candidates
+    monkeypatch.setattr(
+        decontaminate, "candidates", lambda *a: counts.append(real(*a)) or counts[-1]
+    )
+    return lambda: counts[-1].count()
+
+
+def test_a_phrase_of_many_texts_and_items_makes_no_pairs(spark, monkeypatch):
+    phrase = "as a matter of fact"
+    docs = {d: " ".join([*(f"d{d}x{k}" for k in range(8)), phrase, *(f"e{d}x{k}" for k in range(8))]) for d in range(1200)}
+    items = {i: " ".join([*(f"i{i}x{k}" for k in range(6)), phrase, *(f"j{i}x{k}" for k in range(6))]) for i in range(400)}
+    # Some copies, whole and edited, of items that have the phrase.
+    docs |= {2000 + i: f"before {items[i]} after" for i in range(20)}
+    docs |= {3000 + i: " ".join(w if k % 5 else f"x{k}" for k, w in enumerate(items[i].split())) for i in range(20)}
+    pairs = aligned_pairs(monkeypatch)
+    got = similarities(spark, docs, items)
+    assert set(got) >= {(2000 + i, i) for i in range(20)} | {(3000 + i, i) for i in range(20)}
+    near = {d: t for d, t in docs.items() if d >= 2000}
+    assert got == pytest.approx(brute.copies(near, {i: items[i] for i in range(20)}))
+    assert pairs() < 200
+
+
+def test_common_seeds_lose_no_pair(spark, monkeypatch):
+    """Few words, many texts and items: nearly all seeds are common; the results are those of
+    joining every seed, and of plain code but for alignments far from any seed."""
+    draw = np.random.default_rng(5)
+
+    def text(size, words):
+        return " ".join(f"v{x}" for x in draw.zipf(1.6, size).clip(0, words))
+
+    items = {i: text(int(draw.integers(4, 30)), 12) for i in range(40)}
+    docs = {d: text(int(draw.integers(4, 60)), 12) for d in range(60)}
+    for d in range(60, 90):
+        own = items[int(draw.integers(0, 40))].split()
+        docs[d] = " ".join([text(9, 40), *(w if draw.random() < 0.8 else "gone" for w in own), text(9, 40)])
+    want = brute.copies(docs, items)
+    got = similarities(spark, docs, items)
+    assert len(set(want) - set(got)) < 0.03 * len(want) and len(want) > 100
+    monkeypatch.setattr(decontaminate, "FEW", 10**9)
+    assert similarities(spark, docs, items) == got
+
+
+def test_telling_words_are_in_every_copy():
+    draw = np.random.default_rng(8)
+    for _ in range(300):
+        item = draw.integers(0, 30, draw.integers(4, 70)).astype(np.uint64)
+        often = draw.integers(0, 9, 30)[item.astype(np.int64)]
+        told = set(decontaminate.telling_words(item, often, 0.5).tolist())
+        size = len(item)
+        # The most words that can be missing from a whole copy, the telling ones first.
+        for low, high in [(0, size), *((i, i + 20) for i in range(size - 19))]:
+            part = item[low:high].tolist()
+            kept = sorted(part, key=lambda w: w in told)[: -(-len(part) // 2)]
+            assert told & set(kept)
