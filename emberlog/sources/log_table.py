@@ -27,6 +27,7 @@ from emberlog.sources.table_state import (
     TableState,
     Writer,
     change_state,
+    committed_rows,
     folder_name,
     read_state,
     split_name,
@@ -111,52 +112,55 @@ def batch_folder(ingest_batch: str) -> str:
     return folder_name(*split_name(ingest_batch))
 
 
-def write_logs(rows: DataFrame, table: LogTable, ingest_batch: str) -> None:
-    """Write rows into their UTC day, replacing what this ingest batch wrote.
+def with_day(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("event_date", utc_date(F.col("timestamp")))
+
+
+def _replace_days(rows: DataFrame, path: str, ingest_batch: str, order: list) -> None:
+    """Write rows with an ``event_date`` into their day, replacing what this ingest batch wrote.
 
-    Rebalancing by day gives each day few files and still splits a heavy day
-    over many tasks. Inside a file rows sort by service, severity and time, so
-    the row group statistics skip well for the usual filters.
+    Rebalancing by day gives each day few files and still splits a heavy day over
+    many tasks.
     """
-    days = rows.select(
-        *ROW_COLUMNS,
-        utc_date(F.col("timestamp")).alias("event_date"),
-        F.lit(ingest_batch).alias("ingest_batch"),
-    )
     (
-        days.hint("rebalance", "event_date")
-        .sortWithinPartitions(
-            "event_date", "ingest_batch", "service", "level", F.desc("timestamp"), F.desc("id")
-        )
+        rows.withColumn("ingest_batch", F.lit(ingest_batch))
+        .hint("rebalance", "event_date")
+        .sortWithinPartitions("event_date", "ingest_batch", *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("event_date", "ingest_batch")
-        .parquet(table.logs)
+        .parquet(path)
     )
 
 
-    write_minutes(rows.sparkSession, table, ingest_batch)
+def write_rows(rows: DataFrame, table: LogTable, ingest_batch: str) -> None:
+    """Inside a file rows sort by service, severity and time, so the row group
+    statistics skip well for the usual filters."""
+    order = ["service", "level", F.desc("timestamp"), F.desc("id")]
+    _replace_days(rows.select(*ROW_COLUMNS, "event_date"), table.logs, ingest_batch, order)
 
 
-def write_minutes(spark: SparkSession, table: LogTable, ingest_batch: str) -> None:
-    """Count the rows that an ingest batch has just written, reading three of their columns."""
-    written = (
-        spark.read.schema(STORED_LOG).option("basePath", table.logs)
-        .parquet(f"{table.logs}/event_date=*/ingest_batch={ingest_batch}")
-    )
+def minute_counts(rows: DataFrame) -> DataFrame:
+    """Rows with an ``event_date`` counted per minute, service and level."""
     minute = F.timestamp_millis(F.floor(F.unix_millis("timestamp") / MINUTE_MS) * MINUTE_MS)
-    counts = written.groupBy(
-        "event_date", minute.alias("timestamp"), "level", "service"
+    return rows.groupBy(
+        minute.alias("timestamp"), "level", "service", "event_date"
     ).agg(F.count("*").alias("count"))
-    (
-        counts.select(*MINUTE_COUNT.fieldNames()[:-1], F.lit(ingest_batch).alias("ingest_batch"))
-        .hint("rebalance", "event_date")
-        .sortWithinPartitions("event_date", "ingest_batch", "service", "level", F.desc("timestamp"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("event_date", "ingest_batch")
-        .parquet(table.minutes)
+
+
+def write_minutes(counts: DataFrame, table: LogTable, ingest_batch: str) -> None:
+    columns = counts.select(*MINUTE_COUNT.fieldNames()[:-1])
+    _replace_days(columns, table.minutes, ingest_batch, ["service", "level", F.desc("timestamp")])
+
+
+def write_logs(rows: DataFrame, table: LogTable, ingest_batch: str) -> None:
+    """Write rows and their counts; these are made from the folders just written."""
+    write_rows(with_day(rows.drop("event_date")), table, ingest_batch)
+    written = (
+        rows.sparkSession.read.schema(STORED_LOG).option("basePath", table.logs)
+        .parquet(f"{table.logs}/event_date=*/ingest_batch={ingest_batch}")
     )
+    write_minutes(minute_counts(written), table, ingest_batch)
 
 
 def write_rejected(rejected: DataFrame, table: LogTable, ingest_batch: str) -> None:
@@ -228,17 +232,19 @@ def read_rollup_as(spark: SparkSession, table: LogTable, state: TableState) -> D
     return _read(spark, table.minutes, MINUTE_COUNT).filter(visible_rows(state))
 
 
-def _read_answers(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _read(spark, path, T.StructType([*schema.fields, RECEIVED_DATE])).drop("received_date")
+def _read_answers(spark: SparkSession, table: LogTable, name: str, schema: T.StructType) -> DataFrame:
+    """What was written for committed ingest batches; it becomes readable with their rows."""
+    stored = _read(spark, table.part(name), T.StructType([*schema.fields, RECEIVED_DATE]))
+    return stored.filter(committed_rows(read_state(spark, table.state))).drop("received_date")
 
 
 def read_rejected(spark: SparkSession, table: LogTable) -> DataFrame:
-    return _read_answers(spark, table.part("rejected"), REJECTED_ROW)
+    return _read_answers(spark, table, "rejected", REJECTED_ROW)
 
 
 def read_acknowledgements(spark: SparkSession, table: LogTable) -> DataFrame:
     schema = T.StructType([*ACKNOWLEDGEMENT.fields, INGEST_BATCH])
-    return _read_answers(spark, table.part("acknowledgements"), schema)
+    return _read_answers(spark, table, "acknowledgements", schema)
 
 
 def days_of(spark: SparkSession, path: str) -> list[date]:

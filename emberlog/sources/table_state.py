@@ -151,17 +151,21 @@ def any_of(conditions: list[Column]) -> Column:
     return out
 
 
-def visible_rows(state: TableState) -> Column:
-    """Which rows readers may see, from the folder columns only."""
-    committed = [
+def committed_rows(state: TableState) -> Column:
+    """Which rows belong to committed ingest batches, from the folder column only."""
+    return any_of([
         written_upto(name, writer.visible)
         & ~F.col("ingest_batch").isin([folder_name(name, n) for n in writer.abandoned])
         if writer.abandoned else written_upto(name, writer.visible)
         for name, writer in state.writers.items() if writer.visible >= 0
-    ]
+    ])
+
+
+def visible_rows(state: TableState) -> Column:
+    """Which rows readers may see, from the folder columns only."""
     covered, compacted = [], []
     for day, one in state.days.items():
         on_day = F.col("event_date") == F.lit(day).cast("date")
         covered.append(on_day & any_of([written_upto(name, upto) for name, upto in one.upto.items()]))
         compacted.append(on_day & (F.col("ingest_batch") == one.folder))
-    return (any_of(committed) & ~any_of(covered)) | any_of(compacted)
+    return (committed_rows(state) & ~any_of(covered)) | any_of(compacted)
