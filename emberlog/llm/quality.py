@@ -176,6 +176,7 @@ def scored(described: DataFrame, model: Discriminant) -> DataFrame:
 
 
 def labelled(described: DataFrame, labels: DataFrame, column: str) -> DataFrame:
-    """Rows (stats, label) of the described documents that have a label of 0 or 1."""
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(column).cast("int").alias("label"))
-    return described.join(own.where("label in (0, 1)"), "doc_id").select("stats", "label")
+    """Rows (stats, label) of the described documents that have a label of 0 or 1; others teach nothing."""
+    value = F.col(column).try_cast("double")
+    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), value.alias("value")).where("value in (0, 1)")
+    return described.join(own, "doc_id").select("stats", F.col("value").cast("int").alias("label"))

@@ -176,7 +176,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """All documents; in texts with secrets these are replaced, and n_chars with them."""
+    """All documents; in texts with secrets these are replaced, and n_chars with them where there is one."""
     words = automaton()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +184,15 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
             scanned = Scanned(piece.column("text"), words)
             hit = [i for i in range(piece.num_rows) if scanned.spans[i]]
             if hit:
-                texts, sizes = piece.column("text").to_pylist(), piece.column("n_chars").to_pylist()
+                changed = {"text": piece.column("text").to_pylist()}
+                if "n_chars" in piece.schema.names:
+                    changed["n_chars"] = piece.column("n_chars").to_pylist()
                 for i in hit:
-                    texts[i] = scanned.masked(i)
-                    sizes[i] = len(texts[i])
+                    changed["text"][i] = scanned.masked(i)
+                    if "n_chars" in changed:
+                        changed["n_chars"][i] = len(changed["text"][i])
                 columns = [
-                    pa.array(texts, f.type) if f.name == "text" else
-                    pa.array(sizes, f.type) if f.name == "n_chars" else piece.column(f.name)
+                    pa.array(changed[f.name], f.type) if f.name in changed else piece.column(f.name)
                     for f in piece.schema
                 ]
                 piece = pa.RecordBatch.from_arrays(columns, schema=piece.schema)
