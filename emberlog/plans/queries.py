@@ -32,7 +32,8 @@ from emberlog.sources.log_table import (
     read_logs,
     read_rejected,
 )
-from emberlog.streaming.ingest import start_ingest
+from emberlog.streaming.freshness import probe_stream
+from emberlog.streaming.ingest import start_ingest, stop_when_drained
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -827,6 +828,54 @@ def streamed_rejects(spark, sf_dir):
     return rejected.groupBy("reason").agg(F.count("*").alias("rows"))
 
 
+@query(f"WITH {ENTRIES} SELECT strftime(moment, '%Y-%m-%d') AS event_date, service, count(*) AS rows, "
+       "count(*) AS ids FROM judged WHERE reason IS NULL GROUP BY 1, 2")
+def timed_stream_rows(spark, sf_dir):
+    """A stream that flushes by the clock; what waits is finished before it stops."""
+    configure(spark)
+    root = scratch_dir(spark, "timed")
+    views.event_batches(spark, sf_dir).write.parquet(f"{root}/raw")
+    source = read_batch_table(spark, f"{root}/raw", stream=True, maxFilesPerTrigger=4)
+    table = LogTable(f"{root}/table")
+    stop_when_drained(start_ingest(source, table, f"{root}/progress"))
+    return read_logs(spark, table).groupBy(
+        F.col("event_date").cast("string").alias("event_date"), "service"
+    ).agg(F.count("*").alias("rows"), F.count_distinct("id").alias("ids"))
+
+
+# Waves in which requests are sent to a running stream, and the longest wait for one.
+WAVES, PROBE_SECONDS = 3, 120
+
+
+@query(f"""
+WITH {ENTRIES},
+probes AS (SELECT place FROM judged GROUP BY 1 HAVING count(*) FILTER (WHERE reason IS NULL) > 0)
+SELECT count(*) AS probes, count(*) AS visible, CAST(0 AS BIGINT) AS timeouts, count(*) > 0 AS passed FROM probes
+""")
+def probe_freshness(spark, sf_dir):
+    """Requests sent to a running stream in waves, and how many became readable in time."""
+    configure(spark)
+    root = scratch_dir(spark, "probed")
+    raw = views.event_batches(spark, sf_dir)
+    spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(
+        spark._jvm.org.apache.hadoop.fs.Path(f"{root}/raw")
+    )
+    table = LogTable(f"{root}/table")
+    running = start_ingest(read_batch_table(spark, f"{root}/raw", stream=True), table, f"{root}/progress")
+
+    def send(wave: int) -> DataFrame:
+        mine = raw.where(F.pmod(F.crc32(F.col("batch_id").cast("binary")), F.lit(WAVES)) == wave)
+        mine.write.mode("append").parquet(f"{root}/raw")
+        return mine
+
+    try:
+        sends = [lambda wave=wave: send(wave) for wave in range(WAVES)]
+        probes = probe_stream(spark, table, running, sends, PROBE_SECONDS)
+        return measures.freshness(probes, PROBE_SECONDS * 1000).select("probes", "visible", "timeouts", "passed")
+    finally:
+        running.stop()
+
+
 # ------------------------------------------------------------------ maintenance
 
 

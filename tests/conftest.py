@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from emberlog.schema import RAW_BATCH
 from emberlog.session import build_session
 
-NOW = datetime(2026, 8, 11, 12, 0, 0)
+NOW = datetime(2031, 8, 11, 12, 0, 0)
 
 
 @pytest.fixture(scope="session")
@@ -27,7 +27,7 @@ def spark():
 def entry(**changes):
     """A valid entry; a field set to ``...`` is left out."""
     base = {
-        "timestamp": "2026-08-11T11:58:30.000Z",
+        "timestamp": "2031-08-11T11:58:30.000Z",
         "level": "error",
         "service": "mill",
         "message": "belt slipped twice",

@@ -10,7 +10,7 @@ from emberlog.operators import measures
 from emberlog.operators.percentiles import exact_percentiles
 from emberlog.schema import REQUEST_SAMPLE
 
-START = datetime(2026, 8, 11, 23, 59, 50)
+START = datetime(2031, 8, 11, 23, 59, 50)
 
 
 def nearest(values, percent):

@@ -16,8 +16,8 @@ from emberlog.operators.pages import page_index
 from emberlog.schema import STORED_LOG
 from pyspark.sql import functions as F
 
-START = datetime(2026, 5, 3, 14, 0)
-SINCE, UNTIL = "2026-05-03T14:00:00Z", "2026-05-03T15:00:00Z"
+START = datetime(2031, 5, 3, 14, 0)
+SINCE, UNTIL = "2031-05-03T14:00:00Z", "2031-05-03T15:00:00Z"
 TONES = ("Low hum", "high RATTLE", "steady tick")
 
 
@@ -47,8 +47,8 @@ def ids(page):
     ({"attr.line": "L2", "attr.turn": "107"}, 1), ({"attr.line": "L1", "attr.turn": "107"}, 0),
     ({"attr.missing": ""}, 0), ({"q": "low"}, 5), ({"q": "RATTLE"}, 5), ({"q": "rattle AT"}, 5),
     ({"q": "%"}, 0), ({"q": "_"}, 0), ({"q": "\\"}, 0), ({"q": "gear 1"}, 6),
-    ({"since": "2026-05-03T14:10:00Z"}, 10), ({"until": "2026-05-03T14:10:00Z"}, 5),
-    ({"since": "2026-05-03T14:10:00Z", "until": "2026-05-03T14:13:00Z"}, 2),
+    ({"since": "2031-05-03T14:10:00Z"}, 10), ({"until": "2031-05-03T14:10:00Z"}, 5),
+    ({"since": "2031-05-03T14:10:00Z", "until": "2031-05-03T14:13:00Z"}, 2),
     ({"service": "MILL"}, 0),
 ])
 def test_filters_agree_between_list_and_count(series, arguments, found):
@@ -61,7 +61,7 @@ def test_filters_agree_between_list_and_count(series, arguments, found):
 def test_output_form(series):
     (shown,) = fetch_page(series, {"service": "mill", "limit": "1"}).logs
     assert shown.asDict() == {
-        "id": "15", "timestamp": "2026-05-03T14:28:00.000Z", "level": "debug", "service": "mill",
+        "id": "15", "timestamp": "2031-05-03T14:28:00.000Z", "level": "debug", "service": "mill",
         "message": "steady tick at gear 14", "attributes": {"line": "L4", "turn": "114"},
     }
 
@@ -70,7 +70,7 @@ def test_pages_of_four(series):
     sizes, seen, cursor = [], [], None
     while True:
         arguments = {"service": "mill", "limit": "4", **({"cursor": cursor} if cursor else {})}
-        page = fetch_page(series, arguments, days=[date(2026, 5, 2), date(2026, 5, 3)])
+        page = fetch_page(series, arguments, days=[date(2031, 5, 2), date(2031, 5, 3)])
         frame = list_page(series, arguments).collect()
         assert [r["id"] for r in frame] == [r["id"] for r in page.logs]
         assert {r["next_cursor"] for r in frame} == {page.next_cursor}
@@ -105,9 +105,9 @@ def test_totals_by_width(series):
 
 
 def test_first_bucket_starts_at_since(series):
-    arguments = {"since": "2026-05-03T13:59:30.500Z", "until": UNTIL, "bucket": "5m"}
+    arguments = {"since": "2031-05-03T13:59:30.500Z", "until": UNTIL, "bucket": "5m"}
     first = count_by_bucket(series, arguments).first()
-    assert first["start"] == datetime(2026, 5, 3, 13, 59, 30, 500_000)
+    assert first["start"] == datetime(2031, 5, 3, 13, 59, 30, 500_000)
 
 
 def test_groups_sort_by_severity(series):
@@ -173,14 +173,14 @@ def test_cursor_columns(tied):
 
 
 @pytest.mark.parametrize("payload, valid", [
-    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"9223372036854775807"}', True),
-    ('{"v":2,"ts":"2026-03-09T04:17:22.081Z","id":"1"}', False),
-    ('{"v":"1","ts":"2026-03-09T04:17:22.081Z","id":"1"}', False),
+    ('{"v":1,"ts":"2031-03-09T04:17:22.081Z","id":"9223372036854775807"}', True),
+    ('{"v":2,"ts":"2031-03-09T04:17:22.081Z","id":"1"}', False),
+    ('{"v":"1","ts":"2031-03-09T04:17:22.081Z","id":"1"}', False),
     ('{"v":1,"ts":"never","id":"1"}', False),
-    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":1}', False),
-    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"-1"}', False),
-    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"12345678901234567890"}', False),
-    ('{"v":1,"ts":"2026-03-09T04:17:22.081Z","id":"1"}],[', False),
+    ('{"v":1,"ts":"2031-03-09T04:17:22.081Z","id":1}', False),
+    ('{"v":1,"ts":"2031-03-09T04:17:22.081Z","id":"-1"}', False),
+    ('{"v":1,"ts":"2031-03-09T04:17:22.081Z","id":"12345678901234567890"}', False),
+    ('{"v":1,"ts":"2031-03-09T04:17:22.081Z","id":"1"}],[', False),
     ("[]", False), ("null", False), ("", False),
 ])
 def test_cursor_column_rules(spark, payload, valid):
@@ -194,7 +194,7 @@ def test_busiest_service_ties(spark):
             row(3, START - timedelta(hours=30), service="z"),
             row(4, START + timedelta(seconds=1), service="z")]
     logs = spark.createDataFrame(rows, STORED_LOG)
-    end = text_millis("2026-05-03T14:00:00Z")
+    end = text_millis("2031-05-03T14:00:00Z")
     assert busiest_service(logs, end, 24).first()["service"] == "a"
     assert busiest_service(logs, end, 48).first()["service"] == "z"
     assert busiest_service(logs, end + 1, 48).first()["count"] == 2
@@ -205,7 +205,7 @@ def test_discover(spark):
             row(2, START, message="a  of (long!) word", zz="1", b="2", aa="3")]
     found = discover(spark.createDataFrame(rows, STORED_LOG)).first()
     assert (found["attr_key"], found["attr_value"], found["word"]) == ("b", "2", "long")
-    assert found["end"] == "2026-05-03T14:00:00.000Z"
+    assert found["end"] == "2031-05-03T14:00:00.000Z"
 
 
 def test_discover_names_the_busiest_service_of_the_window(spark):
@@ -215,8 +215,8 @@ def test_discover_names_the_busiest_service_of_the_window(spark):
     logs = spark.createDataFrame(rows, STORED_LOG)
     assert discover(logs).first()["service"] == "often"
     assert discover(logs, 48).first()["service"] == "before"
-    early = discover(logs, 24, until="2026-05-02T00:00:00Z").first()
-    assert (early["service"], early["end"]) == ("before", "2026-05-02T00:00:00.000Z")
+    early = discover(logs, 24, until="2031-05-02T00:00:00Z").first()
+    assert (early["service"], early["end"]) == ("before", "2031-05-02T00:00:00.000Z")
     assert discover(logs, 24, until="2020-01-01T00:00:00Z").first() is None
     assert discover(logs.limit(0)).first() is None
     with pytest.raises(ValueError, match="invalid until"):

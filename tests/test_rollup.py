@@ -15,17 +15,17 @@ from emberlog.sources.log_table import LogTable, read_logs, read_rollup_as
 from emberlog.sources.table_state import read_state
 from emberlog.streaming.ingest import start_ingest
 
-DAY = {"since": "2026-08-09T12:00:00Z", "until": "2026-08-11T13:00:00Z"}
+DAY = {"since": "2031-08-09T12:00:00Z", "until": "2031-08-11T13:00:00Z"}
 ASKED = [
     {**DAY, "bucket": "1m"}, {**DAY, "bucket": "1h", "group_by": "service"},
     {**DAY, "bucket": "1d", "group_by": "level"}, {**DAY, "bucket": "5m", "service": "mill", "level": "error"},
-    {"since": "2026-08-10T00:07:00Z", "until": "2026-08-11T11:58:30.500Z", "bucket": "1h", "group_by": "level"},
-    {"since": "2026-08-11T11:58:00Z", "until": "2026-08-11T11:58:31Z", "bucket": "1m", "group_by": "service"},
-    {"since": "2026-08-11T11:58:00Z", "until": "2026-08-11T11:59:00Z", "bucket": "1m"},
+    {"since": "2031-08-10T00:07:00Z", "until": "2031-08-11T11:58:30.500Z", "bucket": "1h", "group_by": "level"},
+    {"since": "2031-08-11T11:58:00Z", "until": "2031-08-11T11:58:31Z", "bucket": "1m", "group_by": "service"},
+    {"since": "2031-08-11T11:58:00Z", "until": "2031-08-11T11:59:00Z", "bucket": "1m"},
 ]
 FROM_ROWS = [
     {**DAY, "bucket": "1h", "q": "belt"}, {**DAY, "bucket": "1h", "attr.k": "v"},
-    {"since": "2026-08-10T00:00:30Z", "until": "2026-08-11T13:00:00Z", "bucket": "5m"},
+    {"since": "2031-08-10T00:00:30Z", "until": "2031-08-11T13:00:00Z", "bucket": "5m"},
 ]
 
 
@@ -64,7 +64,7 @@ def test_counts_after_replays_and_late_rows(spark, table, batches):
     ingest(first, table, "w-0")
     assert same_counts(spark, table) > 50
     ingest(first, table, "w-0")
-    late = batches(envelope(*entries(40, 3), entry(timestamp="2026-08-09T12:00:00.000Z")), prefix="late")
+    late = batches(envelope(*entries(40, 3), entry(timestamp="2031-08-09T12:00:00.000Z")), prefix="late")
     ingest(late, table, "w-1")
     ingest(late, table, "w-1")
     assert same_counts(spark, table) > 80
@@ -84,7 +84,7 @@ def test_counts_after_maintenance(spark, table, batches):
     for n in range(3):
         ingest(batches(envelope(*entries(30, n, days=5)), prefix=f"r{n}-"), table, f"w-{n}")
     before = same_counts(spark, table)
-    for day in ("2026-08-10", "2026-08-09"):
+    for day in ("2031-08-10", "2031-08-09"):
         maintenance.compact_day(spark, table, maintenance.date.fromisoformat(day))
     assert same_counts(spark, table) == before
     assert maintenance.purge_replaced(spark, table) > 0

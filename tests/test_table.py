@@ -135,9 +135,9 @@ def test_state_stays_small_and_the_scan_has_no_join(spark, table, batches, tmp_p
 
 @pytest.mark.parametrize("zone", ["America/New_York", "Asia/Kolkata"])
 def test_other_session_zones_read_the_same(spark, table, batches, zone):
-    texts = ["2026-08-10T02:30:00.007Z", "2026-08-09T23:59:59.999Z"]
+    texts = ["2031-08-10T02:30:00.007Z", "2031-08-09T23:59:59.999Z"]
     ingest(batches(envelope(*[entry(timestamp=t) for t in texts])), table, "w-0")
-    ranged = {"since": "2026-08-09T00:00:00Z", "until": "2026-08-11T00:00:00Z", "bucket": "1d"}
+    ranged = {"since": "2031-08-09T00:00:00Z", "until": "2031-08-11T00:00:00Z", "bucket": "1d"}
 
     def read():
         logs = read_logs(spark, table)
@@ -204,11 +204,11 @@ def test_no_batches_is_a_no_op(spark, table, batches):
 
 def test_rows_land_in_their_utc_day(spark, table, batches):
     ingest(batches(envelope(
-        entry(timestamp="2026-08-09T23:59:59.999Z"), entry(timestamp="2026-08-10T00:00:00Z"),
-        entry(timestamp="2026-08-10T01:00:00+02:00"),
+        entry(timestamp="2031-08-09T23:59:59.999Z"), entry(timestamp="2031-08-10T00:00:00Z"),
+        entry(timestamp="2031-08-10T01:00:00+02:00"),
     )), table, "w-0")
     assert [r[5] for r in stored(spark, table)] == [
-        date(2026, 8, 9), date(2026, 8, 10), date(2026, 8, 9)
+        date(2031, 8, 9), date(2031, 8, 10), date(2031, 8, 9)
     ]
 
 
@@ -229,7 +229,7 @@ def test_newest_page_stops_at_the_newest_days(spark, table, batches):
 @pytest.mark.parametrize("micro_batches", [1, 8])
 def test_stream_equals_batch(spark, tmp_path, micro_batches):
     raw = str(tmp_path / "raw")
-    now = text_millis("2026-08-11T12:00:00Z")
+    now = text_millis("2031-08-11T12:00:00Z")
     made = entries_to_batches(synthetic_entries(spark, 200, now, spread_days=5), now, 25)
     made.repartition(8, "batch_id").write.parquet(raw)
     batch = LogTable(str(tmp_path / "batch"))
@@ -274,7 +274,7 @@ def test_stream_of_request_files_takes_late_files_and_drains(spark, tmp_path, ta
 def test_stream_replays_its_last_micro_batch(spark, tmp_path, table):
     """The commit log of the stream loses its last entry, as after a crash."""
     raw, progress = str(tmp_path / "raw"), tmp_path / "progress"
-    now = text_millis("2026-08-11T12:00:00Z")
+    now = text_millis("2031-08-11T12:00:00Z")
     made = entries_to_batches(synthetic_entries(spark, 100, now), now, 25)
     made.repartition(4, "batch_id").write.parquet(raw)
 
@@ -294,26 +294,26 @@ def test_stream_replays_its_last_micro_batch(spark, tmp_path, table):
 def test_retention_keeps_day_30_and_drops_day_31(spark, table, batches, tmp_path):
     old = batches(envelope(*[entry(timestamp=days_ago(d)) for d in (0, 30)]))
     ingest(old, table, "w-0")
-    later = date(2026, 8, 12)
+    later = date(2031, 8, 12)
     (tmp_path / "table" / "logs" / "event_date=other").mkdir()
-    result = maintenance.run_maintenance(spark, table, date(2026, 8, 11))
+    result = maintenance.run_maintenance(spark, table, date(2031, 8, 11))
     assert result.dropped == [] and len(result.missing) == 45 - 2
     result = maintenance.run_maintenance(spark, table, later)
-    assert result.dropped == [date(2026, 7, 12)]
-    assert log_days(spark, table) == [date(2026, 8, 11)]
+    assert result.dropped == [date(2031, 7, 12)]
+    assert log_days(spark, table) == [date(2031, 8, 11)]
     assert (tmp_path / "table" / "logs" / "event_date=other").exists()
     assert len(stored(spark, table)) == 1
 
 
 def test_calendar_reports(spark):
-    days = spark.createDataFrame([(date(2026, 7, 11),), (date(2026, 7, 12),)], "event_date date")
-    today = date(2026, 8, 11)
+    days = spark.createDataFrame([(date(2031, 7, 11),), (date(2031, 7, 12),)], "event_date date")
+    today = date(2031, 8, 11)
     expired = maintenance.expired_partitions(days, today).collect()
-    assert [r["partition_name"] for r in expired] == ["logs_2026_07_11"]
-    assert expired[0]["upper_bound"] == datetime(2026, 7, 12)
+    assert [r["partition_name"] for r in expired] == ["logs_2031_07_11"]
+    assert expired[0]["upper_bound"] == datetime(2031, 7, 12)
     missing = maintenance.missing_partitions(days, maintenance.required_days(spark, today))
     names = [r["partition_name"] for r in missing.collect()]
-    assert len(names) == 44 and names[0] == "logs_2026_07_13" and names[-1] == "logs_2026_08_25"
+    assert len(names) == 44 and names[0] == "logs_2031_07_13" and names[-1] == "logs_2031_08_25"
 
 
 def test_compaction_changes_no_row(spark, table, batches, tmp_path):
@@ -321,18 +321,18 @@ def test_compaction_changes_no_row(spark, table, batches, tmp_path):
         ingest(batches(envelope(entry(message=f"m{n}"), entry(timestamp=days_ago(2)))), table,
                f"w-{n}")
     before = stored(spark, table)
-    target = maintenance.compact_day(spark, table, date(2026, 8, 9))
+    target = maintenance.compact_day(spark, table, date(2031, 8, 9))
     assert stored(spark, table) == before
     assert maintenance.purge_replaced(spark, table) == 3
     assert stored(spark, table) == before
-    day = tmp_path / "table" / "logs" / "event_date=2026-08-09"
+    day = tmp_path / "table" / "logs" / "event_date=2031-08-09"
     assert [p.name for p in day.iterdir() if p.is_dir()] == [f"ingest_batch={target}"]
     ingest(batches(envelope(entry(timestamp=days_ago(2), message="late"))), table, "w-3")
     assert len(stored(spark, table)) == 7
 
 
 def test_synthetic_entries_are_valid_and_repeatable(spark, table):
-    now = text_millis("2026-08-11T12:00:00Z")
+    now = text_millis("2031-08-11T12:00:00Z")
     made = synthetic_entries(spark, 2_000, now, spread_days=3, seed=7)
     assert made.exceptAll(synthetic_entries(spark, 2_000, now, spread_days=3, seed=7)).isEmpty()
     assert not made.exceptAll(synthetic_entries(spark, 2_000, now, spread_days=3)).isEmpty()

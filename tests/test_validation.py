@@ -7,7 +7,7 @@ from emberlog.operators.acknowledge import acknowledge
 from emberlog.operators.validation import judge_batches, rejected_entries
 
 GOOD = None
-OLD = "timestamp predates the retention window (earliest retained: 2026-07-12T00:00:00.000Z)"
+OLD = "timestamp predates the retention window (earliest retained: 2031-07-12T00:00:00.000Z)"
 FUTURE = "timestamp is more than 5 minutes in the future"
 NOT_TEXT = "'timestamp' must be an ISO 8601 string"
 SERVICE = "'service' must be a non-empty string"
@@ -33,26 +33,26 @@ ENTRIES = [
     (entry(timestamp=5), NOT_TEXT),
     (entry(timestamp=None), NOT_TEXT),
     (entry(timestamp="yesterday"), bad_time("yesterday")),
-    (entry(timestamp="2026-08-11"), bad_time("2026-08-11")),
-    (entry(timestamp="2026-08-11T11:59:00"), bad_time("2026-08-11T11:59:00")),
-    (entry(timestamp="2026-08-11T11:59:00Z\n"), bad_time("2026-08-11T11:59:00Z\n")),
-    (entry(timestamp="2026-08-11 11:59:00Z"), bad_time("2026-08-11 11:59:00Z")),
-    (entry(timestamp="2026-13-01T00:00:00Z"), bad_time("2026-13-01T00:00:00Z")),
-    (entry(timestamp="2026-08-32T00:00:00Z"), bad_time("2026-08-32T00:00:00Z")),
-    (entry(timestamp="2026-08-10T24:00:01Z"), bad_time("2026-08-10T24:00:01Z")),
-    (entry(timestamp="2026-08-10T23:59:60Z"), bad_time("2026-08-10T23:59:60Z")),
-    (entry(timestamp="2026-08-10T23:59:00+24:00"), bad_time("2026-08-10T23:59:00+24:00")),
-    (entry(timestamp="2026-08-11T11:59:00Z"), GOOD),
-    (entry(timestamp="2026-08-11T11:59:00.5Z"), GOOD),
-    (entry(timestamp="2026-08-11T13:59:00+02:00"), GOOD),
-    (entry(timestamp="2026-08-11T06:29:00-0530"), GOOD),
-    (entry(timestamp="2026-08-11T12:04:59Z"), GOOD),
-    (entry(timestamp="2026-08-11T12:05:00.000Z"), GOOD),
-    (entry(timestamp="2026-08-11T12:05:00.001Z"), FUTURE),
-    (entry(timestamp="2026-08-11T12:05:01Z"), FUTURE),
-    (entry(timestamp="2026-07-12T00:00:00.000Z"), GOOD),
-    (entry(timestamp="2026-07-11T23:59:59.999Z"), OLD),
-    (entry(timestamp="2026-06-27T00:00:00.000Z"), OLD),
+    (entry(timestamp="2031-08-11"), bad_time("2031-08-11")),
+    (entry(timestamp="2031-08-11T11:59:00"), bad_time("2031-08-11T11:59:00")),
+    (entry(timestamp="2031-08-11T11:59:00Z\n"), bad_time("2031-08-11T11:59:00Z\n")),
+    (entry(timestamp="2031-08-11 11:59:00Z"), bad_time("2031-08-11 11:59:00Z")),
+    (entry(timestamp="2031-13-01T00:00:00Z"), bad_time("2031-13-01T00:00:00Z")),
+    (entry(timestamp="2031-08-32T00:00:00Z"), bad_time("2031-08-32T00:00:00Z")),
+    (entry(timestamp="2031-08-10T24:00:01Z"), bad_time("2031-08-10T24:00:01Z")),
+    (entry(timestamp="2031-08-10T23:59:60Z"), bad_time("2031-08-10T23:59:60Z")),
+    (entry(timestamp="2031-08-10T23:59:00+24:00"), bad_time("2031-08-10T23:59:00+24:00")),
+    (entry(timestamp="2031-08-11T11:59:00Z"), GOOD),
+    (entry(timestamp="2031-08-11T11:59:00.5Z"), GOOD),
+    (entry(timestamp="2031-08-11T13:59:00+02:00"), GOOD),
+    (entry(timestamp="2031-08-11T06:29:00-0530"), GOOD),
+    (entry(timestamp="2031-08-11T12:04:59Z"), GOOD),
+    (entry(timestamp="2031-08-11T12:05:00.000Z"), GOOD),
+    (entry(timestamp="2031-08-11T12:05:00.001Z"), FUTURE),
+    (entry(timestamp="2031-08-11T12:05:01Z"), FUTURE),
+    (entry(timestamp="2031-07-12T00:00:00.000Z"), GOOD),
+    (entry(timestamp="2031-07-11T23:59:59.999Z"), OLD),
+    (entry(timestamp="2031-06-27T00:00:00.000Z"), OLD),
     (entry(timestamp="0000-01-01T00:00:00Z"), OLD),
     (entry(level="critical"), "invalid level: 'critical'"),
     (entry(level="ERROR"), "invalid level: 'ERROR'"),
@@ -128,10 +128,10 @@ def accepted(batches):
 
 def test_accepted_form(accepted):
     (row,) = accepted(envelope(entry(
-        timestamp="2026-08-11T13:59:00.1239+02:00",
+        timestamp="2031-08-11T13:59:00.1239+02:00",
         attributes={"crate": "17b", "line": "L4", "tries": 6},
     )))
-    assert row["timestamp"].isoformat() == "2026-08-11T11:59:00.123000"
+    assert row["timestamp"].isoformat() == "2031-08-11T11:59:00.123000"
     assert (row["level"], row["service"], row["message"]) == (3, "mill", "belt slipped twice")
     assert row["attributes"] == {"crate": "17b", "line": "L4", "tries": "6"}
 
@@ -143,19 +143,19 @@ def test_missing_attributes_become_an_empty_map(accepted):
 
 def test_calendar_rollover_and_midnight(accepted, spark, batches):
     rows = accepted(envelope(
-        entry(timestamp="2026-07-31T24:00:00Z"), entry(timestamp="2026-08-11T23:59:00+23:59")
+        entry(timestamp="2031-07-31T24:00:00Z"), entry(timestamp="2031-08-11T23:59:00+23:59")
     ))
     assert [row["timestamp"].isoformat() for row in rows] == [
-        "2026-08-01T00:00:00", "2026-08-11T00:00:00",
+        "2031-08-01T00:00:00", "2031-08-11T00:00:00",
     ]
     from datetime import datetime
 
     march = batches(
-        envelope(entry(timestamp="2026-02-30T00:00:00Z"), entry(timestamp="2026-02-29T01:00:00Z")),
-        received_at=datetime(2026, 3, 5),
+        envelope(entry(timestamp="2031-02-30T00:00:00Z"), entry(timestamp="2031-02-29T01:00:00Z")),
+        received_at=datetime(2031, 3, 5),
     )
     got = [row["timestamp"].isoformat() for row in judge_batches(march).orderBy("index").collect()]
-    assert got == ["2026-03-02T00:00:00", "2026-03-01T01:00:00"]
+    assert got == ["2031-03-02T00:00:00", "2031-03-01T01:00:00"]
 
 
 NUMBERS = {
@@ -246,7 +246,7 @@ def test_answer_of_a_mixed_batch(batches):
 
 def test_late_entries_are_rejected_one_by_one(batches):
     body = envelope(
-        entry(), entry(timestamp="2026-07-22T00:00:00Z"), entry(timestamp="2026-06-12T00:00:00Z"),
+        entry(), entry(timestamp="2031-07-22T00:00:00Z"), entry(timestamp="2031-06-12T00:00:00Z"),
     )
     (answer,) = acknowledge(judge_batches(batches(body))).collect()
     assert answer["accepted"] == 2
