@@ -126,11 +126,31 @@ def throughput(samples: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def interval_rate(samples: DataFrame, seconds: int = 1) -> DataFrame:
+def calendar(first_and_last: DataFrame, width: int) -> DataFrame:
+    """``millis`` of every interval from a first to a last one (one row ``first, last``).
+
+    The days between are laid out over all tasks, and each day makes its own intervals.
+    """
+    day = F.explode(F.sequence(F.floor(F.col("first") / DAY_MS), F.floor(F.col("last") / DAY_MS)))
+    days = first_and_last.where(F.col("first").isNotNull()).select("first", "last", day.alias("day"))
+    start = F.col("day") * DAY_MS
+    inside = F.sequence(start + F.pmod(-start, F.lit(width)), start + DAY_MS - 1, F.lit(width).cast("bigint"))
+    # An interval wider than a day begins on few days.
+    begins = F.pmod(-start, F.lit(width)) < DAY_MS
+    return (
+        days.repartition("day").where(begins)
+        .select("first", "last", F.explode(inside).alias("millis"))
+        .where(F.col("millis").between(F.col("first"), F.col("last"))).select("millis")
+    )
+
+
+def interval_rate(samples: DataFrame, seconds: int = 1, every: bool = False) -> DataFrame:
     """Accepted rate per interval with running totals, in time order.
 
-    The running totals are summed inside each day and then shifted by the totals
-    of all earlier days, so no task holds more than one day of intervals.
+    With ``every`` there is also a row for each interval without requests between the
+    first and the last one; its totals are those before it. The running totals are
+    summed inside each day and then shifted by the totals of all earlier days, so no
+    task holds more than one day of intervals.
     """
     width = seconds * 1_000
     started = F.unix_millis(F.col("started_at").cast("timestamp"))
@@ -141,11 +161,16 @@ def interval_rate(samples: DataFrame, seconds: int = 1) -> DataFrame:
         F.count_if(_responded(THROTTLED)).alias("throttled"),
         F.count_if(_failed()).alias("failed"),
     )
+    sums = ["accepted", "requests", "throttled", "failed"]
+    if every:
+        ends = intervals.agg(F.min("millis").alias("first"), F.max("millis").alias("last"))
+        intervals = calendar(ends, width).join(intervals, "millis", "left").select(
+            "millis", *[F.coalesce(c, F.lit(0)).alias(c) for c in sums]
+        )
     # Never null, so the join below adds no filter to one side only and both
     # sides share one scan.
     day = F.coalesce(F.floor(F.col("millis") / DAY_MS), F.lit(0))
     intervals = intervals.withColumn("day", day)
-    sums = ["accepted", "requests", "throttled", "failed"]
     earlier = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
     days = intervals.groupBy("day").agg(*[F.sum(c).alias(c) for c in sums]).select(
         "day", *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in sums]

@@ -1023,12 +1023,38 @@ SELECT strftime(m, {ISO}) AS interval_start, accepted, round(accepted / 60.0::DO
 FROM i WINDOW w AS (ORDER BY m)
 """)
 def interval_rate(spark, sf_dir):
-    rates = measures.interval_rate(views.event_requests(spark, sf_dir), seconds=60)
+    return rate_rows(measures.interval_rate(views.event_requests(spark, sf_dir), seconds=60))
+
+
+def rate_rows(rates: DataFrame) -> DataFrame:
     return rates.withColumn("interval_start", iso_text(F.col("interval_start"))).withColumn(
         "rate", F.round("rate", 6)
     )
 
 
+@query(f"""
+WITH {REQUESTS},
+busy AS (SELECT time_bucket(INTERVAL '90 seconds', ts, TIMESTAMP '1970-01-01') AS m,
+                CAST(sum(CASE WHEN net THEN accepted ELSE 0 END) AS BIGINT) AS accepted,
+                count(*) AS requests, count(*) FILTER (net AND status = 429) AS throttled,
+                count(*) FILTER (NOT net OR status = 500) AS failed
+         FROM r GROUP BY 1),
+i AS (SELECT m, coalesce(accepted, 0) AS accepted, coalesce(requests, 0) AS requests,
+             coalesce(throttled, 0) AS throttled, coalesce(failed, 0) AS failed
+      FROM (SELECT unnest(generate_series((SELECT min(m) FROM busy), (SELECT max(m) FROM busy),
+                                          INTERVAL '90 seconds')) AS m) LEFT JOIN busy USING (m))
+SELECT strftime(m, {ISO}) AS interval_start, accepted, round(accepted / 90.0::DOUBLE, 6) AS rate,
+       CAST(sum(accepted) OVER w AS BIGINT) AS total_accepted,
+       CAST(sum(requests) OVER w AS BIGINT) AS total_requests,
+       CAST(sum(throttled) OVER w AS BIGINT) AS total_throttled,
+       CAST(sum(failed) OVER w AS BIGINT) AS total_failed
+FROM i WINDOW w AS (ORDER BY m)
+""")
+def interval_rate_every(spark, sf_dir):
+    """Also the intervals without any request."""
+    return rate_rows(measures.interval_rate(views.event_requests(spark, sf_dir), seconds=90, every=True))
+
+
 @query(f"""
 WITH {REQUESTS},
 g AS (SELECT shape, count(*) AS requests,

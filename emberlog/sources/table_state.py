@@ -4,6 +4,10 @@ One small file per version in ``state/``, created exclusively: of two writers th
 change the same version one succeeds and the other starts again from the new one.
 It holds one entry per writer and one per compacted day, however many ingest
 batches there were. Old versions go away with each change.
+
+That rests on a store in which creating a file that exists fails, whoever was first.
+``EXCLUSIVE_STORES`` names those; in others, such as object stores that look before they
+write, two writers could both succeed, so a table's state there is refused.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, SparkSession, functions as F
 
+# Schemes of file systems whose create without overwriting is atomic.
+EXCLUSIVE_STORES = ("file", "hdfs", "viewfs", "ofs", "abfs", "abfss")
 NUMBER_WIDTH = 12
 KEPT_VERSIONS = 3
 
@@ -77,9 +83,18 @@ def read_text(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
+def require_exclusive(scheme: str) -> None:
+    if scheme not in EXCLUSIVE_STORES:
+        raise ValueError(
+            f"a table's state needs a store that creates files exclusively ({', '.join(EXCLUSIVE_STORES)}), "
+            f"not {scheme!r}"
+        )
+
+
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
     """Create a file that must not exist yet; whether it was created."""
     files, place = _files(spark, path)
+    require_exclusive(files.getUri().getScheme())
     if files.exists(place):
         return False
     try:

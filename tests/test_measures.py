@@ -2,7 +2,7 @@
 
 import math
 import random
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
@@ -152,3 +152,22 @@ def test_freshness(spark):
     late = probes.union(spark.createDataFrame([(20_000.0,)], "elapsed_ms double"))
     got = measures.freshness(late).first()
     assert (got["visible"], got["timeouts"], got["max"], got["passed"]) == (3, 1, 300.0, False)
+
+
+@pytest.mark.parametrize("seconds", [1, 7, 3600, 100_000])
+def test_every_interval_has_a_row_also_over_an_empty_day(spark, seconds):
+    start = datetime(2031, 3, 1, 23, 59, 50)
+    kind = "started_at timestamp, network_ok boolean, status int, accepted int"
+    moments = [(0, 5), (3, 2), (3, 1), (20, 4), (2 * 86_400 + 11, 7)] if seconds > 1 else [(0, 5), (3, 2), (3, 1), (20, 4)]
+    rows = [(start + timedelta(seconds=s), True, 200, n) for s, n in moments] + [(None, True, 200, 9)]
+    found = measures.interval_rate(spark.createDataFrame(rows, kind).repartition(3), seconds, every=True).collect()
+    epoch = [int(r["interval_start"].replace(tzinfo=timezone.utc).timestamp()) for r in found]
+    base = int(start.replace(tzinfo=timezone.utc).timestamp())
+    want = sorted({(base + s) // seconds * seconds for s, _ in moments})
+    assert epoch == list(range(want[0], want[-1] + 1, seconds))
+    for at, row in zip(epoch, found, strict=True):
+        inside = [n for s, n in moments if at <= base + s < at + seconds]
+        before = [n for s, n in moments if base + s < at + seconds]
+        assert (row["accepted"], row["total_accepted"], row["total_requests"]) == (sum(inside), sum(before), len(before))
+    nothing = spark.createDataFrame([], kind)
+    assert measures.interval_rate(nothing, seconds, every=True).collect() == []

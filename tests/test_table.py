@@ -27,6 +27,7 @@ from emberlog.sources.log_table import (
     reserve,
     write_logs,
 )
+from emberlog.sources.table_state import require_exclusive
 from emberlog.sources.synthetic import entries_to_batches, synthetic_entries
 from emberlog.streaming.ingest import start_ingest, stop_when_drained
 
@@ -102,6 +103,14 @@ def test_other_data_under_a_used_name_is_refused(spark, table, batches):
     assert [r[4] for r in stored(spark, table)] == ["first"]
 
 
+def test_stores_without_exclusive_creation_are_refused():
+    for scheme in ("file", "hdfs", "abfss"):
+        require_exclusive(scheme)
+    for scheme in ("s3a", "gs", "wasb"):
+        with pytest.raises(ValueError, match=f"exclusively .*, not '{scheme}'"):
+            require_exclusive(scheme)
+
+
 def test_two_writers_never_share_an_id(spark, table, batches):
     first = reserve(spark, table, "a-0", "x", 10_000)
     second = reserve(spark, table, "b-0", "y", 5_000)
