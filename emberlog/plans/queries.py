@@ -21,6 +21,7 @@ from emberlog.operators.listing import fetch_page, list_page, newest_row, output
 from emberlog.operators.maintenance import compact_day, purge_replaced, run_maintenance
 from emberlog.operators.pages import page_index
 from emberlog.operators.rollup import count_table
+from emberlog.operators.totals import day_totals
 from emberlog.operators.validation import judge_batches, rejected_entries
 from emberlog.plans import views
 from emberlog.session import configure, scratch_dir
@@ -700,6 +701,18 @@ def stored_page_newest_days(spark, sf_dir):
     return spark.createDataFrame(placed(page), PLACED)
 
 
+@query(f"""
+WITH {STORED}
+SELECT strftime(t, '%Y-%m-%d') AS event_date, CAST(1 AS BIGINT) AS batches, count(*) AS rows, min(id) AS first_id,
+       max(id) AS last_id, CAST(min(lv) AS SMALLINT) AS lowest, CAST(max(lv) AS SMALLINT) AS highest
+FROM stored GROUP BY 1
+""")
+def stored_totals(spark, sf_dir):
+    """From the footers of the table's files alone."""
+    totals = day_totals(spark, ingested(spark, sf_dir))
+    return totals.withColumn("event_date", F.col("event_date").cast("string"))
+
+
 def day_counts(spark: SparkSession, table: LogTable) -> DataFrame:
     rows = read_logs(spark, table)
     return rows.groupBy(F.col("event_date").cast("string").alias("event_date")).agg(
