@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each a table of its own."""
+"""A training corpus from raw documents: five stages, each a table of its own.
+
+Null and empty texts have too few words and go in the first stage, as does what has
+no words. Rows of equal texts, also rows of one doc_id, are copies: the first by
+doc_id stays with its own repeated rows. A null doc_id is never matched with a test
+item; such rows stay. An empty table gives an empty one. Further columns go along up
+to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -38,7 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every text, with its source and language."""
+    """The ids of every text, their number and checksum, and whether they give the text back."""
     coded = encode_texts(docs, PIECE_MODEL)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip")
 

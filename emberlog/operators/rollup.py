@@ -35,18 +35,26 @@ def answers(wanted: LogFilter) -> bool:
 def count_table(spark: SparkSession, table: LogTable, arguments: Mapping[str, object]) -> DataFrame:
     """Rows of the table per bucket as ``(start, group, count)``, from its minute counts
     where they answer; the same result as ``count_by_bucket`` on its rows."""
+    return count_from(*read_counted(spark, table), arguments)
+
+
+def read_counted(spark: SparkSession, table: LogTable) -> tuple[DataFrame, DataFrame]:
+    """Rows and minute counts of one state of the table. Both may be kept for several
+    requests, which then list no folders again and see the table as it was."""
+    state = read_state(spark, table.state)
+    return read_logs_as(spark, table, state), read_rollup_as(spark, table, state)
+
+
+def count_from(rows: DataFrame, minutes: DataFrame, arguments: Mapping[str, object]) -> DataFrame:
     wanted = parse_filter(arguments)
     require_range(wanted)
     width, group_by = parse_bucket(arguments), parse_group_by(arguments)
-    state = read_state(spark, table.state)
-    rows = read_logs_as(spark, table, state)
     if not answers(wanted):
         return bucket_counts(rows, wanted, width, group_by)
     whole = replace(wanted, until=wanted.until // MINUTE_MS * MINUTE_MS)
-    minutes = filter_logs(read_rollup_as(spark, table, state), whole)
     start = bucket_start_micros(F.col("timestamp"), wanted.since, width).alias("start_micros")
     keys = [start] if group_by is None else [start, F.col(group_by).alias("group")]
-    counted = minutes.groupBy(*keys).agg(F.sum("count").alias("count"))
+    counted = filter_logs(minutes, whole).groupBy(*keys).agg(F.sum("count").alias("count"))
     if whole.until < wanted.until:
         # The last bucket can have rows on both sides of the last whole minute.
         rest = counted_rows(rows, replace(wanted, since=max(whole.until, wanted.since)), width, group_by, wanted.since)
