@@ -60,7 +60,7 @@ PART = re.compile(r" (?:[^ ]+|(?<=\s) )*")
 WHOLE = re.compile(r".+", re.DOTALL)
 # Parts that any byte-level pre-tokenizer takes as letters and marks, and how it does.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-LATIN = re.compile(rf" [{LETTERS}]+[.,;:!?]*")
+LATIN = re.compile(rf" [{LETTERS}]{{1,60}}[.,;:!?]{{0,20}}")
 LATIN_WORDS = rf" ?[{LETTERS}]+|[.,;:!?]+"
 # Parts that a worker keeps, and how many are encoded as one text.
 STORE = 500_000

@@ -171,3 +171,17 @@ def test_ranges_cover_all_ids():
 def test_texts_that_do_not_come_back(text):
     aligner = aligner_of()
     assert aligner.whole(*aligner.look([text, "fine"])).tolist() == [False, True]
+
+
+@pytest.mark.parametrize("text", [
+    "a" * 300_000, "word" * 50_000 + "," * 500, " " * 200_000, "日本語" * 50_000,
+    " ".join(f"w{i * 7919 % 100_003}" for i in range(120_000)),
+])
+def test_very_long_texts(text):
+    aligner = aligner_of()
+    found, sizes = aligner.look([text])
+    (ends_a, a), (ends_b, b) = tokens(text)
+    facts = aligner.facts[found].sum(axis=0)
+    assert aligner.whole(found, sizes).tolist() == [True]
+    assert facts[1:4].tolist() == [len(a), len(b), len(set(ends_a) & set(ends_b))]
+    assert facts[4] == sum(len(aligner.pairs[i]) for i in found)
