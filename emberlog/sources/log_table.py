@@ -95,11 +95,15 @@ def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def _replace_batch(rows: DataFrame, path: str, ingest_batch: str) -> None:
-    """Write one ingest batch, by the UTC day its requests came; writing it again replaces it."""
+    """Write one ingest batch, by the UTC day its requests came; writing it again replaces it.
+
+    Most ingest batches came on one day. Rebalancing by request too spreads that day over
+    tasks, as many as its size asks for; a ``batch_id`` with very many rows is still split.
+    """
     (
         rows.withColumn("received_date", utc_date(F.col("received_at")))
         .withColumn("ingest_batch", F.lit(ingest_batch))
-        .repartition("received_date")
+        .hint("rebalance", "received_date", "batch_id")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("received_date", "ingest_batch")

@@ -206,6 +206,19 @@ def test_nothing_accepted_writes_no_day(spark, table, batches):
     assert (ack["status"], ack["error"]) == (400, "all entries rejected")
 
 
+def test_answers_and_rejects_of_one_day_are_written_by_several_tasks(spark, table, batches):
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(least)
+    spark.conf.set(least, "1")
+    try:
+        ingest(batches(*[envelope(*[entry(level=f"{i}-{j}") for j in range(50)]) for i in range(64)]), table, "w-0")
+    finally:
+        spark.conf.set(least, before)
+    for rows, count in ((read_rejected(spark, table), 3200), (read_acknowledgements(spark, table), 64)):
+        assert rows.count() == count
+        assert rows.select(F.input_file_name()).distinct().count() > 1
+
+
 def test_no_batches_is_a_no_op(spark, table, batches):
     assert ingest(batches(envelope(entry())).limit(0), table, "w-0") == 0
     assert read_acknowledgements(spark, table).count() == 0
