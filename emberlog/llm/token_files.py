@@ -38,25 +38,29 @@ from tokenizers import Tokenizer
 
 from emberlog.llm.words import pieces
 
-# Parts whose ids a worker keeps, about 200 bytes each.
-STORE = 800_000
+# Words, and parts of words, whose ids a worker keeps, about 200 bytes each.
+STORE = 1_000_000
 # Runs of letters that are encoded as one text.
 TOGETHER = 1000
 # Words, and words of letters apart from the marks behind them. A tokenizer that
 # marks word ends drops blanks and never joins anything across one, nor across the
 # seam of a letter and such a mark.
 LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
-PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,;:!?])|[^\x20\x09-\x0D]+")
+PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|[^\x20\x09-\x0D]++")
+SEAM = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ][.,;:!?]")
 
 
 class PartEncoder:
-    """Ids of texts as bytes; the ids of parts seen before are stored until the store is full."""
+    """Ids of texts as bytes; the ids of words and parts seen before are stored until the store is full.
+
+    Words are looked up as UTF-8, as ``bytes.split()`` cuts at the blanks of PARTS and no others.
+    """
 
     def __init__(self, definition: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = dtype
-        self.stored: dict[str, bytes] = {}
+        self.stored: dict[bytes, bytes] = {}
         # Ids that end a run of letters, if the vocabulary marks them.
         suffix = json.loads(definition)["model"].get("end_of_word_suffix")
         vocabulary = self.tokenizer.get_vocab()
@@ -67,7 +71,9 @@ class PartEncoder:
     def add(self, parts: list[str]) -> None:
         """Store the ids of parts. Runs of letters are encoded many at once, blanks
         between them, and parted where an id ends one; others one by one."""
-        runs = [p for p in parts if LETTERS.fullmatch(p)]
+        runs, rest = [], []
+        for part in parts:
+            (runs if LETTERS.fullmatch(part) else rest).append(part)
         groups = [runs[i : i + TOGETHER] for i in range(0, len(runs), TOGETHER)]
         coded = self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)
         for group, one in zip(groups, coded, strict=True):
@@ -76,10 +82,11 @@ class PartEncoder:
             if len(edges) == len(group) + 1:
                 raw, places = ids.tobytes(), (edges * ids.itemsize).tolist()
                 self.stored.update(
-                    (part, raw[a:b]) for part, a, b in zip(group, places[:-1], places[1:], strict=True)
+                    (part.encode(), raw[a:b]) for part, a, b in zip(group, places[:-1], places[1:], strict=True)
                 )
-        rest = [p for p in parts if p not in self.stored]
-        self.stored.update(zip(rest, self.whole(rest), strict=True))
+                continue
+            rest += group
+        self.stored.update(zip(map(str.encode, rest), self.whole(rest), strict=True))
 
     def whole(self, texts: list[str]) -> list[bytes]:
         coded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -89,14 +96,27 @@ class PartEncoder:
         if not self.ends.any():
             # Nothing is known of where this vocabulary parts a text.
             return self.whole(texts)
-        parts = [PARTS.findall(t) for t in texts]
-        wanted = set().union(*parts)
-        new = [p for p in wanted if p not in self.stored]
+        words = [t.encode().split() for t in texts]
+        wanted = set().union(*words)
+        new = wanted.difference(self.stored)
         if len(self.stored) + len(new) > STORE:
             self.stored.clear()
-            new = list(wanted)
-        self.add(new)
-        return [b"".join(map(self.stored.__getitem__, p)) for p in parts]
+            new = wanted
+        self.learn([w.decode() for w in new])
+        return [b"".join(map(self.stored.__getitem__, w)) for w in words]
+
+    def learn(self, words: list[str]) -> None:
+        """Store the ids of words; those with a seam in them from the ids of their parts."""
+        whole, parted = set(), {}
+        for word in words:
+            if SEAM.search(word):
+                parted[word] = PARTS.findall(word)
+            else:
+                whole.add(word)
+        parts = set().union(*parted.values())
+        self.add([*whole, *(p for p in parts - whole if p.encode() not in self.stored)])
+        for word, found in parted.items():
+            self.stored[word.encode()] = b"".join([self.stored[p.encode()] for p in found])
 
 
 _encoders: dict[tuple[int, str], PartEncoder] = {}

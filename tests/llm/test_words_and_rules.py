@@ -191,6 +191,27 @@ def test_parts_of_the_tokenizer_join_to_whole_texts():
     ]
 
 
+def test_words_seen_before_are_not_parted_again(monkeypatch):
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    coder = token_files.PartEncoder(whole.to_str(), "<u2")
+    texts = ["The mill, it stopped; a.b,c .b,c b, mill", "b.\x0bmill,\x1cend it? 1.5 É!é"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    first = coder.encode(texts)
+
+    class Seen:
+        def findall(self, text):
+            raise AssertionError(f"parted again: {text!r}")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(token_files, "PARTS", Seen())
+        again = coder.encode(texts)
+    # A store that is too small is filled anew with each call.
+    monkeypatch.setattr(token_files, "STORE", 3)
+    anew = [coder.encode([t])[0] for t in texts * 2]
+    for got in (first, again, anew[:2], anew[2:]):
+        assert [np.frombuffer(c, "<u2").tolist() for c in got] == want
+
+
 PAGE = (
     "<html><head><title>T</title><script>var a='</p>';</script><style>p{}</style></head><body><!-- x > y -->"
     "<nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>One <b>bo</b>ld\n  word.<br>"
