@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from emberlog.operators.positions import ROW_BITS
 from emberlog.schema import MAX_BATCH_ENTRIES
@@ -47,6 +48,13 @@ def slice_starts(sizes: list[Row]) -> list[tuple[int, int]]:
     return out
 
 
+def slice_table(spark: SparkSession, starts: list[tuple[int, int]]) -> DataFrame:
+    """``(slice, start)`` as rows that the plan itself holds. A frame made from a list is
+    read by Python tasks, for which every micro-batch's rows would have to wait."""
+    columns = zip(*starts, strict=True)
+    return spark.createDataFrame(pa.table([pa.array(c, pa.int64()) for c in columns], names=["slice", "start"]))
+
+
 def assign_ids(accepted: DataFrame, starts: DataFrame, first_id: int) -> DataFrame:
     """Give every accepted entry ``first_id + request place x 5,000 + index``.
 

@@ -199,6 +199,12 @@ def test_uncommitted_rows_are_invisible(spark, table, batches):
     assert len(stored(spark, table)) == 2
 
 
+def test_slice_starts_need_no_python_task(spark):
+    starts = ids.slice_table(spark, [(0, 0), (3, 7), (9, 12)])
+    assert sorted(tuple(r) for r in starts.collect()) == [(0, 0), (3, 7), (9, 12)]
+    assert "LocalTableScan" in starts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_nothing_accepted_writes_no_day(spark, table, batches):
     ingest(batches(envelope(entry(level="x"))), table, "w-0")
     assert log_days(spark, table) == [] and stored(spark, table) == []
